@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barwave.operators.series import BLOCK, KEY, block_of
+from barwave.operators.series import KEY, block_of
+from barwave.session import cut
 
 
 def epoch_us(c: str | Column) -> Column:
@@ -101,25 +103,21 @@ def first_hit(
     """
     keys, ident = list(keys), list(ident)
     last_bar = bars.groupBy(*keys).agg(F.max("bar_index").alias("_last"))
-    todo = candidates.join(F.broadcast(last_bar) if len(keys) == 0 else last_bar, keys)
-    results = []
-    steps = [*horizons, None]
-    names = None
-    for h in steps:
+    todo = candidates.join(last_bar, keys)
+    done = []
+    for h in [*horizons, None]:
         stop = F.col("_last") if end is None else F.least(F.col("_last"), F.col(end))
         upto = stop if h is None else F.least(stop, F.col(start) + F.lit(h))
         span = todo.withColumn("_from", F.col(start) + 1).withColumn("_to", upto)
         hits = range_join(span, bars, "_from", "_to", keys).groupBy(*ident).agg(*aggregates)
-        names = names or [c for c in hits.columns if c not in ident]
-        step = todo.join(hits, ident, "left")
+        names = [c for c in hits.columns if c not in ident]
+        step = cut(todo.join(hits, ident, "left"))
         if h is None:
-            results.append(step)
-        else:
-            complete = resolved | (F.coalesce(stop, F.lit(0)) <= F.col(start) + F.lit(h))
-            complete = F.coalesce(complete, F.lit(False))
-            results.append(step.where(complete))
-            todo = step.where(~complete).drop(*names)
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    return out.drop("_last")
+            done.append(step)
+            break
+        complete = F.coalesce(resolved | (stop <= F.col(start) + F.lit(h)), F.lit(False))
+        done.append(step.where(complete))
+        todo = step.where(~complete).drop(*names)
+        if todo.isEmpty():
+            break
+    return reduce(DataFrame.unionByName, done).drop("_last")
