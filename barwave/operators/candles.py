@@ -183,26 +183,34 @@ def candle_patterns(
     names = [p for p in SETTINGS if patterns is None or p in patterns]
     preds = predicates(digits)
     rows = lagged(bars).withColumn("mother", F.expr(mother_offset()))
-    hits = []
-    for n in names:
-        count, stop, at, limit = level_texts(n)
-        hits.append(
-            F.when(
-                F.expr(fires(n, preds, use_strength)),
-                F.struct(
-                    F.lit(n).alias("pattern"),
-                    F.lit(SETTINGS[n][0]).alias("is_bull"),
-                    F.expr(count).cast("int").alias("bars"),
-                    F.expr(stop).alias("stop"),
-                    F.expr(at).cast("long").alias("stop_bar"),
-                    F.expr(limit).alias("limit_price"),
-                ),
-            )
-        )
-    fired = F.filter(F.array(*hits), lambda h: h.isNotNull() & (h["stop"] != 0))
-    return rows.select("symbol", "tf", "bar_index", "close", F.explode(fired).alias("_h")).select(
-        "symbol", "tf", "bar_index", "close", "_h.*"
+    fired = F.array(*[F.when(F.expr(fires(n, preds, use_strength)), F.lit(n)) for n in names])
+    ages = range(1, LOOKBACK + 2)
+    hit = rows.select(
+        "symbol", "tf", "bar_index", "close", "mother",
+        F.array(*[f"h{a}" for a in ages]).alias("_h"), F.array(*[f"l{a}" for a in ages]).alias("_l"),
+        F.explode(F.filter(fired, lambda n: n.isNotNull())).alias("pattern"),
+    )
+    def setting(i: int, cast: str):
+        value = lambda v: "NULL" if v is None else str(v).lower()
+        pairs = ", ".join(f"'{n}', CAST({value(SETTINGS[n][i])} AS {cast})" for n in names)
+        return F.expr(f"map({pairs})[pattern]")
+
+    hit = hit.withColumns({"is_bull": setting(0, "boolean"), "_stop": setting(1, "int"), "_n": setting(2, "int"), "_lim": setting(3, "int")})
+    mother = (F.col("_n") == 0)
+    count = F.when(mother, F.col("mother") + 1).otherwise(F.col("_n")).cast("int")
+    near = F.when(F.col("is_bull"), F.col("_l")).otherwise(F.col("_h"))
+    far = F.when(F.col("is_bull"), F.col("_h")).otherwise(F.col("_l"))
+    span = F.slice(near, F.lit(1), count)
+    edge = F.when(F.col("is_bull"), F.array_min(span)).otherwise(F.array_max(span))
+    # the most recent bar holding the extreme; a mother bar's stop bar is one further back
+    offset = F.when(F.col("_stop") >= 0, F.col("_stop")).when(mother, count).otherwise(F.array_position(span, edge) - 1)
+    stop = F.when(F.col("_stop") >= 0, F.element_at(near, F.col("_stop") + 1)).when(mother, F.element_at(near, count)).otherwise(edge)
+    limit = F.when(mother, F.element_at(far, count)).when(F.col("_lim").isNotNull(), F.element_at(far, F.coalesce("_lim", F.lit(0)) + 1))
+    out = hit.select(
+        "symbol", "tf", "bar_index", "close", "pattern", "is_bull", count.alias("bars"), stop.alias("stop"),
+        (F.col("bar_index") - offset).cast("long").alias("stop_bar"), limit.alias("limit_price"),
     )
+    return out.where(F.col("stop") != 0)
 
 
 def pattern_rectangle(patterns: DataFrame, bars: DataFrame) -> DataFrame:

@@ -103,7 +103,7 @@ def first_hit(
     """
     keys, ident = list(keys), list(ident)
     last_bar = bars.groupBy(*keys).agg(F.max("bar_index").alias("_last"))
-    todo = candidates.join(last_bar, keys)
+    todo = cut(candidates.join(last_bar, keys))
     done = []
     for h in [*horizons, None]:
         stop = F.col("_last") if end is None else F.least(F.col("_last"), F.col(end))

@@ -13,7 +13,7 @@ from barwave.operators.setups import price_action_setups
 from barwave.plans.candles import patterns_sql
 from barwave.plans.oracle import with_bars
 from barwave.plans.registry import query
-from barwave.sources.ticks import walk_bars
+from barwave.sources.ticks import bar_table, walk_bars
 
 # ---- DuckDB building blocks ----
 
@@ -58,7 +58,7 @@ STATS_SQL = """count(*) AS trades, count(*) FILTER (outcome = 'TP') AS tp_count,
 
 
 def pa_signals(spark, sf):
-    bars = walk_bars(spark, sf)
+    bars = bar_table(spark, sf)
     return bars, price_action_setups(cd.candle_patterns(bars), bars)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barwave.operators.series import with_bar_index
+from barwave.session import cut
 from barwave.sources.timeframes import SPAN
 
 
@@ -58,26 +59,26 @@ def resample(bars: DataFrame, tf: str) -> DataFrame:
 BASE_LEVEL = 50000
 
 
-def minute_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Minute bars of a signed walk over ``events``: symbol = event type, step = +/- value.
+def minute_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per (symbol, minute): OHLC and sum of the signed event values.
 
-    A tick's price is the level reached by all earlier minutes plus its own signed value, so a
-    minute's OHLC is a plain aggregate (combined before the shuffle, whatever the share of a symbol
-    or minute) and only the minute table, whose size the calendar bounds, is put in order.
-    Sums are decimal, hence exact in any order.
+    The only pass over the raw table; everything combines before the shuffle, whatever the share of
+    one symbol or minute.  Sums are decimal, hence exact in any order.  The result is bounded by
+    symbols x calendar minutes and is materialised, as two branches read it.
     """
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
     amount = F.col("value").cast("decimal(18,2)")
-    at = F.struct("ts", "event_id")
+    # time then id as one decimal: its buffer is mutable, so the aggregate hashes instead of sorting
+    at = F.unix_micros(F.col("ts").cast("timestamp")).cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)") + F.col("event_id")
     m = (
         ev.select(
             F.col("event_type").alias("symbol"),
-            frame_start("ts", "m1").alias("open_time"),
+            frame_start("ts", "m1").alias("minute"),
             "ts",
             "event_id",
             F.when(F.col("event_id") % 2 == 0, amount).otherwise(-amount).alias("v"),
         )
-        .groupBy("symbol", "open_time")
+        .groupBy("symbol", "minute")
         .agg(
             F.min_by("v", at).alias("o"),
             F.max("v").alias("h"),
@@ -87,21 +88,41 @@ def minute_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.count("*").alias("n"),
         )
     )
-    before = Window.partitionBy("symbol").orderBy("open_time").rowsBetween(Window.unboundedPreceding, -1)
-    level = F.lit(BASE_LEVEL) + F.coalesce(F.sum("s").over(before), F.lit(0).cast("decimal(18,2)"))
-    m = m.withColumn("lvl", level)
-    return m.select(
-        "symbol",
-        "open_time",
-        *[(F.col("lvl") + F.col(c)).cast("double").alias(n) for c, n in zip("ohlc", ("open", "high", "low", "close"))],
-        F.col("n").cast("double").alias("volume"),
-    )
+    return cut(m.withColumn("_day", F.to_date("minute")))
 
 
 def walk_bars(spark: SparkSession, sf_dir: str, tf: str = "h1") -> DataFrame:
-    """The bar table every query starts from."""
-    return resample(minute_walk(spark, sf_dir), tf).select(
-        "symbol", "tf", "bar_index", "open_time", "open", "high", "low", "close", "volume"
+    """Bars of a signed walk over ``events``: symbol = event type, step = +/- value.
+
+    A tick's price is the level reached by all earlier minutes plus its own signed value.  Levels
+    and bar numbers need order: totals per day, a prefix over the day table (one row per symbol and
+    day), then windows inside one day.
+    """
+    if SPAN[tf] > 86400:
+        return resample(walk_bars(spark, sf_dir, "d1"), tf)
+    m = minute_moves(spark, sf_dir).withColumn("open_time", frame_start("minute", tf))
+    days = m.groupBy("symbol", "_day").agg(F.sum("s").alias("_s"), F.count_distinct("open_time").alias("_n"))
+    prior = Window.partitionBy("symbol").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("decimal(18,2)")
+    days = days.select(
+        "symbol", "_day", F.coalesce(F.sum("_s").over(prior), zero).alias("_level"),
+        F.coalesce(F.sum("_n").over(prior), F.lit(0)).alias("_base"),
+    )
+    inside = Window.partitionBy("symbol", "_day").orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
+    level = F.lit(BASE_LEVEL) + F.col("_level") + F.coalesce(F.sum("s").over(inside), zero)
+    priced = m.join(days, ["symbol", "_day"]).withColumn("_lvl", level)
+    price = lambda c: (F.col("_lvl") + F.col(c)).cast("double")
+    bars = priced.groupBy("symbol", "_day", "_base", "open_time").agg(
+        F.min_by(price("o"), "minute").alias("open"),
+        F.max(price("h")).alias("high"),
+        F.min(price("l")).alias("low"),
+        F.max_by(price("c"), "minute").alias("close"),
+        F.sum("n").cast("double").alias("volume"),
+    )
+    rank = F.row_number().over(Window.partitionBy("symbol", "_day").orderBy("open_time"))
+    return bars.select(
+        "symbol", F.lit(tf).alias("tf"), (F.col("_base") + rank - 1).cast("long").alias("bar_index"),
+        "open_time", "open", "high", "low", "close", "volume",
     )
 
 
@@ -109,3 +130,8 @@ def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw ticks: price = event value."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet")
     return ev.select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"), "event_id")
+
+
+def bar_table(spark: SparkSession, sf_dir: str, tf: str = "h1") -> DataFrame:
+    """``walk_bars`` materialised once, for plans that read the bars more than once."""
+    return cut(walk_bars(spark, sf_dir, tf))
