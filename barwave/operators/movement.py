@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from barwave.operators.joins import first_hit, range_join
 from barwave.operators.series import KEY, Fold, block_of, fold_series, framed, with_seq
 
+from barwave.session import cut
+
 LEG = ["symbol", "tf", "seq"]
 LEG_COLS = ["start_bar", "start_value", "end_bar", "end_value", "is_up", "length"]
 PIECE = 1024
@@ -140,9 +142,9 @@ def bar_retreats(lb: DataFrame, bars: DataFrame, whole: bool = False) -> DataFra
     return found.select(*ident, F.col("top"), F.col("deep"), clear.alias("clear_bars"))
 
 
-def ratio_zigzag(legs: DataFrame, bars: DataFrame, whole: bool = False) -> DataFrame:
+def ratio_zigzag(legs: DataFrame, bars: DataFrame, whole: bool = False, lb: DataFrame | None = None) -> DataFrame:
     """Longest clear look-back over the duration of the leg."""
-    lb = leg_bars(legs, bars)
+    lb = leg_bars(legs, bars) if lb is None else lb
     best = bar_retreats(lb, bars, whole).groupBy(*LEG).agg(F.max("clear_bars").alias("_m"))
     n = F.col("end_bar") - F.col("start_bar")
     return legs.join(best, LEG, "left").select(*LEG, F.coalesce(F.col("_m") / n, F.lit(0.0)).alias("ratio_zigzag"))
@@ -465,7 +467,8 @@ def segment_count_class(legs: DataFrame, bars: DataFrame) -> DataFrame:
     bad = n.where((F.col("_c") == 3) | (F.col("_c") >= 5))
     first = bad.groupBy(*LEG).agg(F.min_by("_c", "k").alias("inner_legs"))
     out = legs.select(*LEG).join(first, LEG, "left")
-    return out.withColumn("is_impulse", F.col("inner_legs").isNull())
+    long_enough = legs.select(*LEG, (F.col("end_bar") - F.col("start_bar") >= 3).alias("_long"))
+    return out.join(long_enough, LEG).withColumn("is_impulse", F.col("_long") & F.col("inner_legs").isNull()).drop("_long")
 
 
 def profile_by_zigzag(legs: DataFrame, bars: DataFrame) -> DataFrame:
@@ -480,9 +483,9 @@ def profile_by_zigzag(legs: DataFrame, bars: DataFrame) -> DataFrame:
 
 def leg_labels(legs: DataFrame, bars: DataFrame) -> DataFrame:
     """Whole percents of the look-back ratio, the overlap depth and the uniformity."""
-    lb = leg_bars(legs, bars)
+    lb = cut(leg_bars(legs, bars))
     pct = lambda c: F.bround(F.col(c) * 100.0, 0).cast("int")
-    out = ratio_zigzag(legs, bars).join(max_overlap(lb), LEG).join(overlap_stats(lb), LEG)
+    out = ratio_zigzag(legs, bars, lb=lb).join(max_overlap(lb), LEG).join(overlap_stats(lb), LEG)
     return out.select(
         *LEG, pct("ratio_zigzag").alias("rz"), pct("overlap_depth").alias("depth"), pct("uniformity").alias("uniformity")
     )
@@ -515,10 +518,10 @@ def pine_heterogeneity(lb: DataFrame) -> DataFrame:
 
 def pine_impulse_filter(legs: DataFrame, bars: DataFrame, limit: float = 30.0, min_bars: int = 10) -> DataFrame:
     """All chart-script metrics of each leg and whether every one is under the limit (percent)."""
-    lb = leg_bars(legs, bars)
+    lb = cut(leg_bars(legs, bars))
     near = deviation_from_nearest(lb).select(*LEG, F.col("max_deviation_near").alias("dev_candle"))
     line = deviation_from_line(lb).select(*LEG, F.col("max_deviation").alias("dev_line"))
-    out = ratio_zigzag(legs, bars, whole=True).withColumnRenamed("ratio_zigzag", "rz_pine")
+    out = ratio_zigzag(legs, bars, whole=True, lb=lb).withColumnRenamed("ratio_zigzag", "rz_pine")
     for part in (
         pine_depth(lb), pine_heterogeneity(lb), overlap_stats(lb).select(*LEG, "uniformity"), line, near,
         envelope_area(lb, pine=True),
@@ -590,9 +593,9 @@ def find_divergence(legs: DataFrame, bars_ao: DataFrame) -> DataFrame:
 
 def movement_statistic(legs: DataFrame, bars: DataFrame) -> DataFrame:
     """All leg metrics side by side; the field called heterogeneity carries the uniformity."""
-    lb = leg_bars(legs, bars)
+    lb = cut(leg_bars(legs, bars))
     out = size(legs).join(max_overlap(lb).drop("overlap_distance"), LEG)
-    out = out.join(ratio_zigzag(legs, bars), LEG)
+    out = out.join(ratio_zigzag(legs, bars, lb=lb), LEG)
     out = out.join(overlap_stats(lb).select(*LEG, F.col("uniformity").alias("heterogeneity"), "overlap_degree"), LEG)
     out = out.join(deviation_from_line(lb).select(*LEG, "max_deviation"), LEG)
     out = out.join(envelope_area(lb).select(*LEG, "envelope_area"), LEG)

@@ -284,12 +284,12 @@ def q_between(spark, sf):
         """, h AS (SELECT l.symbol, l.tf, l.seq, any_value(l.start_bar) AS s, max(b.bar_index) FILTER (CASE WHEN is_up THEN low <= start_value ELSE high >= start_value END) AS k,
             max(b.bar_index) FILTER (CASE WHEN is_up THEN high > end_value ELSE low < end_value END) AS y
             FROM legs l LEFT JOIN bars b ON b.symbol = l.symbol AND b.bar_index < l.start_bar GROUP BY 1, 2, 3)
-        SELECT symbol, tf, seq, coalesce(y, -1) > coalesce(k, -1) AS is_initial, CASE WHEN s > 0 THEN greatest(coalesce(y, 0), coalesce(k, 0)) END AS edge_bar FROM h"""
+        SELECT symbol, tf, seq, coalesce(y, -1) > coalesce(k, -1) AS is_initial, CASE WHEN s > 0 THEN greatest(coalesce(y, 0), coalesce(k, 0)) ELSE -1 END AS edge_bar FROM h"""
     ),
 )
 def q_initial(spark, sf):
     bars, legs = base(spark, sf)
-    return mv.is_initial_movement(legs, bars)
+    return mv.is_initial_movement(legs, bars).withColumn("edge_bar", F.coalesce("edge_bar", F.lit(-1)).cast("long"))
 
 
 @query(

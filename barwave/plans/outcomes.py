@@ -57,6 +57,11 @@ STATS_SQL = """count(*) AS trades, count(*) FILTER (outcome = 'TP') AS tp_count,
       round(sum(r - c) FILTER (outcome <> 'OPEN'), 6) AS net_r, round(avg(r - c) FILTER (outcome <> 'OPEN'), 6) AS expectancy"""
 
 
+def bar_or_none(name: str):
+    """A bar number, -1 where there is none."""
+    return F.coalesce(F.col(name), F.lit(-1)).cast("long").alias(name)
+
+
 def pa_signals(spark, sf):
     bars = bar_table(spark, sf)
     return bars, price_action_setups(cd.candle_patterns(bars), bars)
@@ -93,12 +98,12 @@ for _policy in ("sl_first", "tp_first"):
     @query(
         f"g14_signal_outcomes_{_policy}",
         with_bars(
-            SETUPS_SQL + outcomes_sql(policy=_policy) + " SELECT signal_id, outcome, exit_bar, round(exit_price, 6) AS exit_price, conflict FROM oc"
+            SETUPS_SQL + outcomes_sql(policy=_policy) + " SELECT signal_id, outcome, coalesce(exit_bar, -1) AS exit_bar, round(exit_price, 6) AS exit_price, conflict FROM oc"
         ),
     )
     def _q(spark, sf, policy=_policy):
         _, o = pa_outcomes(spark, sf, policy)
-        return o.select("signal_id", "outcome", "exit_bar", F.round("exit_price", 6).alias("exit_price"), "conflict")
+        return o.select("signal_id", "outcome", bar_or_none("exit_bar"), F.round("exit_price", 6).alias("exit_price"), "conflict")
 
 
 # pending orders: entry half way to the stop
@@ -114,13 +119,13 @@ PENDING_SQL = SETUPS_SQL + """, pend AS (SELECT signal_id, symbol, tf, is_long,
           FROM pend s LEFT JOIN bars b ON b.symbol = s.symbol AND b.bar_index > s.entry_bar GROUP BY s.signal_id),
         k AS (SELECT *, CASE WHEN a IS NULL AND o IS NULL THEN 'PENDING'
           WHEN coalesce(o, 1000000000) < coalesce(a, 1000000000) THEN 'CANCELED' ELSE 'ACTIVE' END AS state FROM h)
-        SELECT signal_id, state, CASE WHEN state = 'ACTIVE' THEN a END AS active_bar FROM k"""
+        SELECT signal_id, state, CASE WHEN state = 'ACTIVE' THEN a ELSE -1 END AS active_bar FROM k"""
     ),
 )
 def q_limit(spark, sf):
     bars, s = pa_signals(spark, sf)
     p = s.withColumn("entry", (F.col("entry") + F.col("sl")) / 2)
-    return oc.limit_activation(p, bars).select("signal_id", "state", "active_bar")
+    return oc.limit_activation(p, bars).select("signal_id", "state", bar_or_none("active_bar"))
 
 
 @query(
@@ -140,13 +145,13 @@ def q_limit(spark, sf):
         u AS (SELECT m.*, CASE WHEN moved THEN sb2 ELSE sb END AS s2, CASE WHEN moved THEN tb2 ELSE tb END AS t2 FROM m LEFT JOIN l USING (signal_id))
         SELECT signal_id, CASE WHEN s2 IS NULL AND t2 IS NULL THEN 'OPEN' WHEN coalesce(s2, 1000000000) <= coalesce(t2, 1000000000)
           THEN CASE WHEN moved THEN 'BE' ELSE 'SL' END ELSE 'TP' END AS outcome,
-          CASE WHEN coalesce(s2, 1000000000) <= coalesce(t2, 1000000000) THEN s2 ELSE t2 END AS exit_bar FROM u"""
+          coalesce(CASE WHEN coalesce(s2, 1000000000) <= coalesce(t2, 1000000000) THEN s2 ELSE t2 END, -1) AS exit_bar FROM u"""
     ),
 )
 def q_break_even(spark, sf):
     bars, s = pa_signals(spark, sf)
     s = s.withColumn("break_even", break_even_price(F.col("tp"), F.col("sl"), 0.75))
-    return oc.break_even_outcomes(s, bars).select("signal_id", "outcome", "exit_bar")
+    return oc.break_even_outcomes(s, bars).select("signal_id", "outcome", bar_or_none("exit_bar"))
 
 
 @query(
@@ -377,9 +382,9 @@ def excursions(spark, sf):
     return rp.excursion(s, bars, F.col("unit"), F.lit(10))
 
 
-@query("r09_excursion", with_bars(_EXC_SQL + " SELECT signal_id, sl_bar AS stop_bar, round(run, 8) AS run, round(own_run, 8) AS own_run FROM ex"))
+@query("r09_excursion", with_bars(_EXC_SQL + " SELECT signal_id, coalesce(sl_bar, -1) AS stop_bar, round(run, 8) AS run, round(own_run, 8) AS own_run FROM ex"))
 def q_excursion(spark, sf):
-    return excursions(spark, sf).select("signal_id", "stop_bar", F.round("run", 8).alias("run"), F.round("own_run", 8).alias("own_run"))
+    return excursions(spark, sf).select("signal_id", bar_or_none("stop_bar"), F.round("run", 8).alias("run"), F.round("own_run", 8).alias("own_run"))
 
 
 @query(
