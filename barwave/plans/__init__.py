@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("sources", "prices", "windows", "zigzags", "candles", "outcomes", "movements")
+FAMILIES = ("sources", "prices", "windows", "zigzags", "candles", "outcomes", "movements", "harmonics")
 
 
 def load() -> None:

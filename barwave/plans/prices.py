@@ -83,8 +83,8 @@ def q5(spark, sf):
     "p06_p07_position_volume",
     with_bars(
         _LV
-        + f""", v AS (SELECT *, 1.0::DOUBLE / (abs(entry - sl) * 0.1::DOUBLE / 10000.0::DOUBLE * 100) AS volume FROM lv WHERE abs(entry - sl) > 0)
-        SELECT {I}, round(volume, 5) AS volume, CASE WHEN volume / 2 / 1 <= 4.7713 THEN round(volume / 2, 5) END AS capped FROM v"""
+        + f""", v AS (SELECT *, 1.0::DOUBLE / (abs(entry - sl) * 0.1::DOUBLE / 10000.0::DOUBLE * 100) AS vol FROM lv WHERE abs(entry - sl) > 0)
+        SELECT {I}, round(vol, 5) AS volume, CASE WHEN vol / 2 / 1 <= 4.7713 THEN round(vol / 2, 5) END AS capped FROM v"""
     ),
 )
 def q6(spark, sf):
