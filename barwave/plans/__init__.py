@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("sources", "prices", "windows", "zigzags", "candles", "outcomes", "movements", "harmonics", "gartleys")
+FAMILIES = ("sources", "prices", "windows", "zigzags", "candles", "outcomes", "movements", "harmonics", "gartleys", "waves")
 
 
 def load() -> None:
