@@ -39,7 +39,9 @@ def asof_join(
     width = bucket_seconds * 1_000_000
     payload = F.struct(F.col(right_on or on).alias("asof_time"), *[F.col(v).alias(v) for v in values])
     # on equal times a right row must come first when ties match, last when they do not
-    r = right.select(*by, (epoch_us(right_on or on) * sign).alias("_t"), F.lit(2 if strict else 0).alias("_side"), payload.alias("_r"))
+    at = (epoch_us(right_on or on) * sign).alias("_t")
+    # one row per key and time: of equal times the largest payload counts
+    r = right.groupBy(*by, at).agg(F.max(payload).alias("_r")).withColumn("_side", F.lit(2 if strict else 0))
     l = left.select(*by, (epoch_us(on) * sign).alias("_t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_l"))
     u = l.unionByName(r, allowMissingColumns=True).withColumn("_b", F.floor(F.col("_t") / width))
     per_bucket = u.groupBy(*by, "_b").agg(
