@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("sources", "prices", "windows", "zigzags", "candles", "outcomes", "movements", "harmonics", "gartleys", "waves", "texts", "streams", "setups")
+FAMILIES = ("sources", "prices", "windows", "zigzags", "candles", "outcomes", "movements", "harmonics", "gartleys", "waves", "texts", "streams", "setups", "frames")
 
 
 def load() -> None:
