@@ -18,6 +18,7 @@ from barwave.functions.prices import relative_error, risk_reward, within, within
 from barwave.operators.joins import range_join
 from barwave.operators.pivots import segments, with_pivot_seq
 from barwave.operators.series import BLOCK, KEY, Fold, fold_series, framed, halo, with_seq
+from barwave.session import cut
 
 # fixed values: model -> (AB/XA, BC/AB, CD/BC, final), final is AD/XA, for CYPHER CD/XC; SHARK only asks AB/XA < 1
 DEFINITIONS: dict[str, tuple[tuple, tuple, tuple, tuple]] = {
@@ -42,10 +43,6 @@ FIB_ERROR, ASYMMETRY = 20.0, 250.0
 WEIGHTS = (4.0, 2.0, 3.0)  # ratio error, zone confluence, distance of D from the zone
 
 
-def _doubles(values: Sequence[float]) -> Column:
-    return F.array(*[F.lit(float(v)) for v in values]).cast("array<double>")
-
-
 def by_model(pick) -> Column:
     """A column chosen by the ``model`` column."""
     out = None
@@ -55,6 +52,12 @@ def by_model(pick) -> Column:
     return out
 
 
+def _ratios(i: int) -> Column:
+    """The model's list of allowed ratios: 0 = AB/XA, 1 = BC/AB, 2 = CD/BC, 3 = final (a constant map, folded once)."""
+    row = lambda m: f"'{m}', CAST(array({', '.join(repr(r) + 'D' for r in DEFINITIONS[m][i])}) AS ARRAY<DOUBLE>)"
+    return F.expr(f"map({', '.join(row(m) for m in DEFINITIONS)})[model]")
+
+
 def with_models(df: DataFrame) -> DataFrame:
     return df.withColumn("model", F.explode(F.array(*[F.lit(m) for m in DEFINITIONS])))
 
@@ -75,15 +78,15 @@ def d_ratios() -> dict[str, Column]:
 
 def test_xabc(error: float = FIB_ERROR) -> Column:
     """AB and BC legs fit the model."""
-    ab = by_model(lambda m: within_any(F.col("ab_ratio"), _doubles(DEFINITIONS[m][0]), error) if DEFINITIONS[m][0] else F.col("ab_ratio") < 1.0)
-    bc = by_model(lambda m: within_any(F.col("bc_ratio"), _doubles(DEFINITIONS[m][1]), error))
+    ab = F.when(F.size(_ratios(0)) == 0, F.col("ab_ratio") < 1.0).otherwise(within_any(F.col("ab_ratio"), _ratios(0), error))
+    bc = within_any(F.col("bc_ratio"), _ratios(1), error)
     return ab & bc
 
 
 def test_cd(error: float = FIB_ERROR) -> Column:
     """CD leg and final ratio fit the model; a model without CD/BC ratios skips the former."""
-    cd = by_model(lambda m: within_any(F.col("cd_ratio"), _doubles(DEFINITIONS[m][2]), error) if DEFINITIONS[m][2] else F.lit(True))
-    final = by_model(lambda m: within_any(F.col("final_ratio"), _doubles(DEFINITIONS[m][3]), error))
+    cd = (F.size(_ratios(2)) == 0) | within_any(F.col("cd_ratio"), _ratios(2), error)
+    final = within_any(F.col("final_ratio"), _ratios(3), error)
     return cd & final
 
 
@@ -93,15 +96,11 @@ def test_ratios(error: float = FIB_ERROR) -> Column:
 
 def prz_levels() -> Column:
     """Projected price levels of the model, ascending."""
-    bc, xa, xc = F.col("c") - F.col("b"), F.col("a") - F.col("x"), F.col("c") - F.col("x")
-
-    def levels(m):
-        _, _, cd, final = DEFINITIONS[m]
-        if m == "CYPHER":
-            return F.array(*[F.col("c") - F.lit(r) * xc for r in final])
-        return F.array(*[F.col("c") - F.lit(r) * bc for r in cd], *[F.col("a") - F.lit(r) * xa for r in final])
-
-    return F.array_sort(by_model(levels))
+    cypher = F.col("model") == "CYPHER"
+    origin = F.when(cypher, F.col("c")).otherwise(F.col("a"))
+    base = F.when(cypher, F.col("c") - F.col("x")).otherwise(F.col("a") - F.col("x"))
+    by_bc = F.transform(_ratios(2), lambda r: F.col("c") - r * (F.col("c") - F.col("b")))
+    return F.array_sort(F.concat(by_bc, F.transform(_ratios(3), lambda r: origin - r * base)))
 
 
 def with_prz(df: DataFrame) -> DataFrame:
@@ -137,7 +136,7 @@ def _mean(*cols: Column) -> Column:
 
 def with_score(df: DataFrame, has_d: bool = True) -> DataFrame:
     """Mean ratio error and the weighted score; the zone part does not exist for CYPHER."""
-    err = lambda i, c: by_model(lambda m: relative_error(F.col(c), _doubles(DEFINITIONS[m][i])) if DEFINITIONS[m][i] else F.lit(None).cast("double"))
+    err = lambda i, c: relative_error(F.col(c), _ratios(i))
     parts = [err(0, "ab_ratio"), err(1, "bc_ratio")]
     height = F.abs(F.col("a") - F.col("x"))
     if has_d:
@@ -461,7 +460,7 @@ def drop_repeats(done: DataFrame) -> DataFrame:
 
 def harmonic_items(bars: DataFrame, xabc: DataFrame | None = None) -> DataFrame:
     """Final figures with score and default targets from D."""
-    found = candidates(find_xabc(bars) if xabc is None else xabc).drop("fib_error", "score")
-    done = drop_repeats(completions(found, bars))
+    found = cut(candidates(find_xabc(bars) if xabc is None else xabc).drop("fib_error", "score"))
+    done = drop_repeats(cut(completions(found, bars)))
     done = with_score(done.withColumns(d_ratios())).withColumn("asymmetry", asymmetry())
     return done.withColumns(default_targets(F.col("d")))

@@ -548,6 +548,33 @@ def extremum_between(legs: DataFrame, bars: DataFrame, high: bool) -> DataFrame:
     return g.select(*LEG, F.col("_b.i").alias("extremum_bar"), value.alias("extremum_value"))
 
 
+def normalize_extrema(legs: DataFrame, pivots: DataFrame) -> DataFrame:
+    """Finer pivots inside each leg with the leg's ends forced, points that do not alternate dropped.
+
+    Legs are laid end to end (``bar_index + seq`` orders them), so neighbours come from blocked frames.
+    Lists under four points are kept as they are.
+    """
+    ends = F.array(
+        F.struct(F.col("start_bar").alias("bar_index"), F.col("start_value").alias("value")),
+        F.struct(F.col("end_bar").alias("bar_index"), F.col("end_value").alias("value")),
+    )
+    falls = (F.col("start_value") > F.col("end_value")).alias("_falls")
+    forced = legs.select(*LEG, falls, F.explode(ends).alias("_e")).select(*LEG, "_falls", "_e.*")
+    inside = legs.select(*LEG, falls, (F.col("start_bar") + 1).alias("_from"), (F.col("end_bar") - 1).alias("_to"))
+    inner = range_join(inside, pivots.select(*KEY, "bar_index", "value"), "_from", "_to").select(*LEG, "_falls", "bar_index", "value")
+    pts = forced.unionByName(inner).withColumn("_at", F.col("bar_index") + F.col("seq"))
+    line = with_seq(pts, list(KEY), "_at", "_n")
+
+    def stage(w):
+        return {"_pv": F.lag("value").over(w), "_ps": F.lag("seq").over(w), "_nv": F.lead("value").over(w), "_ns": F.lead("seq").over(w)}
+
+    line = framed(line, 1, 1, stage, order="_n").join(pts.groupBy(*LEG).agg(F.count("*").alias("_c")), LEG)
+    came = F.when(F.col("_ps") == F.col("seq"), F.col("_pv") < F.col("value")).otherwise(F.col("_falls"))
+    goes = F.when(F.col("_ns") == F.col("seq"), F.col("value") < F.col("_nv"))
+    drop = (F.col("_c") >= 4) & F.coalesce(came == goes, F.lit(False))
+    return line.where(~drop).select(*LEG, "bar_index", "value")
+
+
 def is_initial_movement(legs: DataFrame, bars: DataFrame) -> DataFrame:
     """Going back from the start, price beyond the end is met before price back at the start."""
     up = F.col("is_up")

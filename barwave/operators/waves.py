@@ -7,6 +7,8 @@ be seen, so a search can drop a prefix as soon as it fails.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -309,7 +311,7 @@ def flat_wave_c(pivots: DataFrame) -> DataFrame:
 def wave_candidates(pivots: DataFrame, max_span: int = MAX_SPAN) -> DataFrame:
     """Every way to split up to ``max_span`` legs into waves of odd length that passes all rules.
 
-    Each pivot carries the next ``max_span`` pivots in an array (one window); waves are then added by
+    Each pivot carries the next ``max_span`` pivots in an array (one window, materialised); waves are then added by
     exploding their possible ends, and the rules of that wave drop prefixes at once.  No join and no
     shuffle follows the window.
     """
@@ -322,38 +324,37 @@ def wave_candidates(pivots: DataFrame, max_span: int = MAX_SPAN) -> DataFrame:
             "_b": F.array(*[nth("bar_index", i) for i in reach]),
         }
 
-    p = framed(with_pivot_seq(pivots), 0, max_span, stage, order="seq").select(*KEY, "seq", "_v", "_b")
+    p = cut(framed(with_pivot_seq(pivots), 0, max_span, stage, order="seq").select(*KEY, "seq", "_v", "_b"))
+    return reduce(DataFrame.unionByName, [_splits(p, m, max_span) for m in MODELS])
+
+
+def _splits(p: DataFrame, model: str, max_span: int) -> DataFrame:
+    """Candidates of one model: a narrow chain whose generated code holds this model's rules only."""
+    n = WAVES[model]
     at = lambda arr, e: F.element_at(F.col(arr), (e + 1).cast("int"))
-    out = None
-    for n, models in ((3, THREE), (5, FIVE)):
-        c = p.withColumns({"e0": F.lit(0), "p0": at("_v", F.lit(0)), "b0": at("_b", F.lit(0))})
-        c = c.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
-        for k in range(1, n + 1):
-            prev = F.col(f"e{k - 1}")
-            top = F.lit(max_span - (n - k))
-            # ends at odd distances while the array has pivots
-            c = c.where(prev + 1 <= top).withColumn(f"e{k}", F.explode(F.sequence(prev + 1, top, F.lit(2))))
-            c = c.withColumns({f"p{k}": at("_v", F.col(f"e{k}")), f"b{k}": at("_b", F.col(f"e{k}"))}).where(F.col(f"b{k}").isNotNull())
-            c = c.withColumn(f"w{k}", F.abs(F.col(f"p{k}") - F.col(f"p{k - 1}")))
-            if k == 1:
-                c = c.withColumn("s", F.when(F.col("p1") > F.col("p0"), 1.0).otherwise(-1.0))
-            else:
-                c = c.where(model_case(lambda m, k=k: stage_reason(m, k), models).isNull())
-        last2 = (F.col("e3"), F.col("e4")) if n == 5 else (F.col("e1"), F.col("e2"))
-        # zigzags: the last wave must pass the extreme of the corrective wave before it
-        span = F.slice(F.col("_v"), (last2[0] + 1).cast("int"), (last2[1] - last2[0] + 1).cast("int"))
+    c = p.withColumns({"e0": F.lit(0), "p0": at("_v", F.lit(0)), "b0": at("_b", F.lit(0)), "model": F.lit(model)})
+    for k in range(1, n + 1):
+        prev, top = F.col(f"e{k - 1}"), F.lit(max_span - (n - k))
+        # ends at odd distances while the array has pivots
+        c = c.where(prev + 1 <= top).withColumn(f"e{k}", F.explode(F.sequence(prev + 1, top, F.lit(2))))
+        c = c.withColumns({f"p{k}": at("_v", F.col(f"e{k}")), f"b{k}": at("_b", F.col(f"e{k}"))}).where(F.col(f"b{k}").isNotNull())
+        c = c.withColumn(f"w{k}", F.abs(F.col(f"p{k}") - F.col(f"p{k - 1}")))
+        if k == 1:
+            c = c.withColumn("s", F.when(F.col("p1") > F.col("p0"), 1.0).otherwise(-1.0))
+        else:
+            c = c.where(F.expr(stage_reason(model, k)).isNull())
+    if model in ("ZIGZAG", "DOUBLE_ZIGZAG", "TRIPLE_ZIGZAG"):
+        # the last wave must pass the extreme of the corrective wave before it
+        a, b = F.col(f"e{n - 2}"), F.col(f"e{n - 1}")
+        span = F.slice(F.col("_v"), (a + 1).cast("int"), (b - a + 1).cast("int"))
         extreme = F.when(F.col("s") > 0, F.array_max(span)).otherwise(F.array_min(span))
-        zig = F.col("model").isin("ZIGZAG", "DOUBLE_ZIGZAG", "TRIPLE_ZIGZAG")
-        c = c.where(~zig | (F.col("s") * (F.col(f"p{n}") - extreme) >= 0))
-        c = c.withColumn("structural", structural_score(models))
-        c = c.select(
-            *KEY, "model", F.col("seq").alias("start_seq"), (F.col("seq") + F.col(f"e{n}")).alias("end_seq"),
-            F.array(*[(F.col("seq") + F.col(f"e{k}")).cast("long") for k in range(n + 1)]).alias("ends"),
-            F.array(*[F.col(f"p{k}") for k in range(n + 1)]).alias("points"),
-            F.array(*[F.col(f"b{k}").cast("long") for k in range(n + 1)]).alias("bars"), "structural",
-        )
-        out = c if out is None else out.unionByName(c)
-    return out
+        c = c.where(F.col("s") * (F.col(f"p{n}") - extreme) >= 0)
+    return c.select(
+        *KEY, "model", F.col("seq").alias("start_seq"), (F.col("seq") + F.col(f"e{n}")).alias("end_seq"),
+        F.array(*[(F.col("seq") + F.col(f"e{k}")).cast("long") for k in range(n + 1)]).alias("ends"),
+        F.array(*[F.col(f"p{k}") for k in range(n + 1)]).alias("points"),
+        F.array(*[F.col(f"b{k}").cast("long") for k in range(n + 1)]).alias("bars"), structural_score((model,)).alias("structural"),
+    )
 
 
 def position_table(spark) -> DataFrame:

@@ -329,3 +329,22 @@ def q_class(spark, sf):
 def q_seniority(spark, sf):
     bars, legs = base(spark, sf)
     return mv.sub_extremum_ranks(legs.where(~F.col("open_end")), bars)
+
+
+@query(
+    "z11_normalize_extrema",
+    with_bars(
+        zigzag_sql("za", "2.0::DOUBLE")
+        + legs_sql("la", "za")
+        + zigzag_sql("zb", "0.5::DOUBLE")
+        + """, pt AS (SELECT symbol, tf, seq, start_value > end_value AS falls, start_bar AS bar_index, start_value AS value FROM la
+            UNION ALL SELECT symbol, tf, seq, start_value > end_value, end_bar, end_value FROM la
+            UNION ALL SELECT l.symbol, l.tf, l.seq, l.start_value > l.end_value, z.bar_index, z.value FROM la l JOIN zb z ON z.symbol = l.symbol AND z.bar_index > l.start_bar AND z.bar_index < l.end_bar),
+        w AS (SELECT *, lag(value) OVER k AS pv, lead(value) OVER k AS nv, count(*) OVER (PARTITION BY symbol, seq) AS c FROM pt WINDOW k AS (PARTITION BY symbol, seq ORDER BY bar_index))
+        SELECT symbol, tf, seq, bar_index, value FROM w WHERE NOT (c >= 4 AND nv IS NOT NULL AND coalesce(pv < value, falls) = (value < nv))""",
+        recursive=True,
+    ),
+)
+def q_normalize(spark, sf):
+    bars = bar_table(spark, sf)
+    return mv.normalize_extrema(pv.segments(pv.zigzag_pct(bars, 2.0)), pv.zigzag_pct(bars, 0.5))
