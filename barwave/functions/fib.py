@@ -57,3 +57,15 @@ def fib_in_range(name: str, ratio: Column) -> Column:
 
 def weight_of(name: str, ratio: Column) -> Column:
     return correction_weight(ratio) if name == "correction" else fib_weight(name, ratio)
+
+
+def weight_text(name: str, ratio: str) -> str:
+    """SQL text of ``weight_of`` for a ratio given as SQL text (one parse instead of many calls)."""
+    if name == "correction":
+        return f"greatest({weight_text('deep_correction', ratio)}, {weight_text('shallow_correction', ratio)})"
+    levels = FIB_MAPS[name]
+    heaviest = max(w for w, _ in levels) / 100.0
+    reached = ", ".join(
+        f"CASE WHEN {ratio} >= {r!r}D THEN {w / 100.0!r}D * exp({-DECAY!r}D * (({ratio} - {r!r}D) / {r!r}D)) ELSE 0.0D END" for w, r in levels
+    )
+    return f"greatest({FLOOR!r}D, greatest({reached}) / {heaviest!r}D)"

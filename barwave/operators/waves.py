@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barwave.functions.fib import fib_range, weight_of
+from barwave.functions.fib import fib_range, weight_text
 from barwave.functions.wave_tables import COEFFICIENT, GRAMMAR, POSITION_PROBABILITY, RATIOS, START_MODELS
 from barwave.operators.joins import first_hit, range_join
 from barwave.operators.pivots import with_pivot_seq
@@ -133,7 +133,7 @@ def _per_model(fn, models=MODELS) -> Column:
 
 def fib_score(models=MODELS) -> Column:
     """Geometric mean of the weights of the model's leg ratios."""
-    return _per_model(lambda m: _geo([weight_of(n, _len(a) / _len(b)) for n, a, b in RATIOS[m]]), models)
+    return _per_model(lambda m: _geo([F.expr(weight_text(n, f"(w{a} / w{b})")) for n, a, b in RATIOS[m]]), models)
 
 
 def overshoot_penalty(models=MODELS) -> Column:
@@ -218,7 +218,7 @@ def fib_score_v1(models=MODELS) -> Column:
     log2 = {2: 1.584962500721156, 3: 2.0, 4: 2.321928094887362, 5: 2.584962500721156}
 
     def of(m):
-        parts = [weight_of(n, _len(a) / _len(b)) for n, a, b in RATIOS[m]]
+        parts = [F.expr(weight_text(n, f"(w{a} / w{b})")) for n, a, b in RATIOS[m]]
         product = parts[0]
         for p in parts[1:]:
             product = product * p
@@ -334,15 +334,15 @@ def _splits(p: DataFrame, model: str, max_span: int) -> DataFrame:
     at = lambda arr, e: F.element_at(F.col(arr), (e + 1).cast("int"))
     c = p.withColumns({"e0": F.lit(0), "p0": at("_v", F.lit(0)), "b0": at("_b", F.lit(0)), "model": F.lit(model)})
     for k in range(1, n + 1):
-        prev, top = F.col(f"e{k - 1}"), F.lit(max_span - (n - k))
-        # ends at odd distances while the array has pivots
-        c = c.where(prev + 1 <= top).withColumn(f"e{k}", F.explode(F.sequence(prev + 1, top, F.lit(2))))
-        c = c.withColumns({f"p{k}": at("_v", F.col(f"e{k}")), f"b{k}": at("_b", F.col(f"e{k}"))}).where(F.col(f"b{k}").isNotNull())
-        c = c.withColumn(f"w{k}", F.abs(F.col(f"p{k}") - F.col(f"p{k - 1}")))
+        # ends at odd distances while the array has pivots; wave k-1 has left room for one more step
+        ends = F.sequence(F.col(f"e{k - 1}") + 1, F.lit(max_span - (n - k)), F.lit(2))
+        c = c.select("*", F.explode(ends).alias(f"e{k}"))
+        c = c.select("*", at("_v", F.col(f"e{k}")).alias(f"p{k}"), at("_b", F.col(f"e{k}")).alias(f"b{k}"))
+        new = [F.abs(F.col(f"p{k}") - F.col(f"p{k - 1}")).alias(f"w{k}")]
         if k == 1:
-            c = c.withColumn("s", F.when(F.col("p1") > F.col("p0"), 1.0).otherwise(-1.0))
-        else:
-            c = c.where(F.expr(stage_reason(model, k)).isNull())
+            new.append(F.when(F.col("p1") > F.col("p0"), 1.0).otherwise(-1.0).alias("s"))
+        alive = F.col(f"b{k}").isNotNull() if k == 1 else F.col(f"b{k}").isNotNull() & F.expr(stage_reason(model, k)).isNull()
+        c = c.select("*", *new).where(alive)
     if model in ("ZIGZAG", "DOUBLE_ZIGZAG", "TRIPLE_ZIGZAG"):
         # the last wave must pass the extreme of the corrective wave before it
         a, b = F.col(f"e{n - 2}"), F.col(f"e{n - 1}")

@@ -31,7 +31,8 @@ def bar_files(spark, sf) -> str:
     b = bar_table(spark, sf)
     for lo, hi in ((0, 250), (250, 500), (500, None)):
         part = b.where(F.col("bar_index") >= lo) if hi is None else b.where((F.col("bar_index") >= lo) & (F.col("bar_index") < hi))
-        part.coalesce(1).write.mode("append").parquet(path)
+        # a key lies in one file of a slice, and slices are written in time order
+        part.repartition(4, "symbol", "tf").write.mode("append").parquet(path)
     return path
 
 
