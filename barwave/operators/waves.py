@@ -471,6 +471,16 @@ def position_calibration(nested: DataFrame) -> DataFrame:
     return n.select("parent", "pos", "child", "n", (F.col("n") / total).alias("share"), (F.col("n") / total * slot).alias("probability"))
 
 
+def bonuses_v1(nested: DataFrame) -> DataFrame:
+    """Older bonuses: half the share of waves that have a model of their own, and double for a triangle as b or x."""
+    named = F.size(F.filter("children", lambda c: c["child"] != "SIMPLE_IMPULSE"))
+    share = named / F.size("children")
+    middle = F.filter("children", lambda c: (c["pos"] == 2) & c["child"].isin(*TRIANGLES))
+    holds = F.col("model").isin("ZIGZAG", "DOUBLE_ZIGZAG", "TRIPLE_ZIGZAG", "FLAT_EXTENDED", "FLAT_RUNNING", "FLAT_REGULAR")
+    coverage, triangle = 1.0 + 0.5 * share, F.when(holds & (F.size(middle) > 0), 2.0).otherwise(1.0)
+    return nested.withColumns({"coverage_bonus": coverage, "triangle_bonus": triangle, "score": F.col("score") * coverage * triangle})
+
+
 # ---- unfinished models and projections -----------------------------------------------------------
 
 FIB_CHOICE = {  # wave -> weight map used to project it

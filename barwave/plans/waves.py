@@ -276,6 +276,12 @@ def q_calibration(spark, sf):
     return wv.position_calibration(nested(spark, sf)[1]).withColumns({c: F.round(c, 6) for c in ("share", "probability")})
 
 
+@query("e33_bonuses_v1")
+def q_bonuses(spark, sf):
+    b = wv.bonuses_v1(nested(spark, sf)[1])
+    return b.select("symbol", "tf", "model", "start_seq", "end_seq", F.round("coverage_bonus", 6).alias("coverage_bonus"), "triangle_bonus", F.round("score", 8).alias("score"))
+
+
 @query("e21_partial_candidates")
 def q_partial(spark, sf):
     return wv.partial_candidates(pv.zigzag_pct(bar_table(spark, sf), DEV)).select("symbol", "tf", "model", "seq", "confirmed", "waves", F.round("score", 6).alias("score"))
