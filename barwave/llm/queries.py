@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwave.llm import language_id, line_crf, packing, source_mix, wavelet_tokens
+from barwave.llm import adaptive_rules, brown_lm, language_id, line_crf, packing, secret_forest, source_mix, wavelet_tokens
 from barwave.llm.common import crc_mod, ensure_checkpoint_dir, n_words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
+@query
+def op1_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_forest.scan(documents(spark, sf_dir)).drop("text_key")
+
+
 @query
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", crc_mod(F.col("doc_id"), 4) == 2)
@@ -47,11 +52,26 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op4_source_mix"] = source_mix.ORACLE_SQL.format(documents="documents")
 
 
+@query
+def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held_out = crc_mod(F.col("doc_id"), 5) == 1
+    return brown_lm.score(docs, docs.filter(~held_out)).withColumn("held_out", held_out)
+
+
 @query
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.token_pieces(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=1))
 
 
+@query
+def op8_adaptive_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adaptive_rules.judge(adaptive_rules.measures(documents(spark, sf_dir))).drop("lang", "source", "n_lines")
+
+
+ORACLES["op8_adaptive_rules"] = adaptive_rules.ORACLE_SQL
+
+
 @query
 def op9_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tokens"

@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-KEEP = 300_000
+KEEP = 600_000
 LONGEST = 48
 TOUCHING = re.compile(r"\s\s|^\s|\s$")
 SINGLE = re.compile(r"(?<=\S) (?=\S)")
