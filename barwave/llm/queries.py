@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwave.llm import adaptive_rules, brown_lm, language_id, line_crf, packing, secret_forest, source_mix, wavelet_tokens
+from barwave.llm import adaptive_rules, brown_lm, edit_fingerprints, language_id, line_crf, packing, secret_forest, source_mix, wavelet_tokens
 from barwave.llm.common import crc_mod, ensure_checkpoint_dir, n_words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,11 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["op4_source_mix"] = source_mix.ORACLE_SQL.format(documents="documents")
 
 
+@query
+def op5_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprints.edited_likeness(documents(spark, sf_dir))
+
+
 @query
 def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
