@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwave.llm import adaptive_rules, brown_lm, edit_fingerprints, language_id, line_crf, packing, secret_forest, source_mix, wavelet_tokens
+from barwave.llm import adaptive_rules, brown_lm, edit_fingerprints, jaccard_join, language_id, line_crf, packing, secret_forest, source_mix, wavelet_tokens
 from barwave.llm.common import crc_mod, ensure_checkpoint_dir, n_words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,11 @@ def op1_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_forest.scan(documents(spark, sf_dir)).drop("text_key")
 
 
+@query
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_documents(documents(spark, sf_dir))
+
+
 @query
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", crc_mod(F.col("doc_id"), 4) == 2)

@@ -162,11 +162,11 @@ def scan(docs: DataFrame, labels=rule_labels, threshold: float = 0.5) -> DataFra
     return out.withColumn("is_secret", F.col("score") >= threshold)
 
 
-def redact(docs: DataFrame, findings: DataFrame, mark: str = MARK) -> DataFrame:
+def redact(docs: DataFrame, findings: DataFrame, mark: str = MARK, length_column: str = "n_chars") -> DataFrame:
     """``docs`` with each secret's value replaced by ``mark``; the same rows and columns.
 
     Texts meet their secrets by md5, so equal texts are treated alike and ids may be null or repeat. Only texts that may hold a
-    secret are shuffled; a text without findings is unchanged.
+    secret are shuffled; a text without findings is unchanged. ``length_column``, where there is one, follows a changed text.
     """
     secrets = findings.filter("is_secret").groupBy("text_key").agg(F.collect_set("value").alias("secret_values")).withColumnRenamed("text_key", "secret_key")
     columns = docs.columns
@@ -175,5 +175,9 @@ def redact(docs: DataFrame, findings: DataFrame, mark: str = MARK) -> DataFrame:
     joined = touched.join(secrets, F.md5(touched["text"].cast("binary")) == secrets["secret_key"], "left")
     longest_first = F.reverse(F.sort_array(F.transform(secrets["secret_values"], lambda v: F.struct(F.length(v).alias("n"), v.alias("v")))))
     marked = F.aggregate(longest_first, touched["text"], lambda t, s: F.replace(t, s["v"], F.lit(mark)))
-    changed = F.when(secrets["secret_key"].isNotNull(), marked).otherwise(touched["text"])
-    return joined.select(*[changed.alias(c) if c == "text" else touched[c] for c in columns]).unionByName(clear)
+    hit = secrets["secret_key"].isNotNull()
+    new = {"text": F.when(hit, marked).otherwise(touched["text"])}
+    if length_column in columns:
+        kind = docs.schema[length_column].dataType
+        new[length_column] = F.when(hit, F.length(marked).cast(kind)).otherwise(touched[length_column])
+    return joined.select(*[new[c].alias(c) if c in new else touched[c] for c in columns]).unionByName(clear)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barwave.llm.common import cut
+from barwave.llm.common import cut, n_words
 
 BUCKET_DIGITS = 3  # leading hex digits of the random key: 4096 ranges a source
 
@@ -88,6 +88,32 @@ def mix_sources(
     )
 
 
+def mix_documents(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), seed: int = 7, length_column: str = "n_chars") -> DataFrame:
+    """The mix itself: ``docs`` with each row as often as the mix takes it, its text cut after the words taken where a budget ends.
+
+    Same columns. Rows of which nothing is taken are absent (a row without words is never taken). ``length_column``, where there is one,
+    follows a cut text. Rows equal in id, source and text are one row that may be taken for each of them.
+    """
+    mark = F.xxhash64("doc_id", "source", "text", F.col("source").isNull())
+    sized = docs.select(mark.alias("doc_id"), "source", n_words(F.col("text")).alias("size"))
+    taken = mix_sources(sized, weights, seed).groupBy("doc_id").agg(F.sum("taken").alias("mix_taken"), F.max("size").alias("mix_size"), F.count("*").alias("mix_rows"))
+    taken = cut(taken.filter("mix_taken > 0").withColumnRenamed("doc_id", "mix_key"))
+    columns = docs.columns
+    joined = docs.join(taken, mark == taken["mix_key"])
+    if not taken.filter("mix_rows > 1").isEmpty():
+        many = joined.filter(taken["mix_rows"] > 1)
+        joined = joined.filter(taken["mix_rows"] == 1).unionByName(many.dropDuplicates(["mix_key"]))
+    whole, left = F.floor(taken["mix_taken"] / taken["mix_size"]).cast("int"), (taken["mix_taken"] % taken["mix_size"]).cast("int")
+    text = docs["text"]
+    some = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, left), "")
+    texts = F.concat(F.array_repeat(text, whole), F.when(left > 0, F.array(some)).otherwise(F.array().cast("array<string>")))
+    shown = joined.select(*[docs[c] for c in columns if c != "text"], F.explode(texts).alias("text"), text.alias("mix_whole"))
+    if length_column in columns:
+        kind = docs.schema[length_column].dataType
+        shown = shown.withColumn(length_column, F.when(F.col("text") == F.col("mix_whole"), F.col(length_column)).otherwise(F.length("text").cast(kind)))
+    return shown.select(*columns)
+
+
 ORACLE_SQL = """
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS size,
     md5('7:' || CAST(doc_id AS VARCHAR)) AS key FROM {documents}),
