@@ -8,14 +8,17 @@ tokenizers library once; a worker keeps two generations of at most ``KEEP`` word
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import regex
 
-KEEP = 600_000
+KEEP = 550_000
 LONGEST = 48
 TOUCHING = re.compile(r"\s\s|^\s|\s$")
+CONTROL = re.compile("[\x1c-\x1f]")
+SPACE = re.compile(r"[\x20\x09-\x0d]+")
 SINGLE = re.compile(r"(?<=\S) (?=\S)")
 # The pre-token patterns of the two tokenizer files.
 BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -59,10 +62,25 @@ class WordTokenizer:
                 self.shown[lead], self.shown[tail] = both[0], both[1]
         self.as_letters = {k: v for k, v in self.shown.items()}
         self.pieces = Words(self.piece)
-        self.words = Words((lambda w: self.plain(" " + w)) if byte_level else self.plain)
+        self.lead = " " if byte_level else ""
+        self.words = Words(self.word)
 
     def piece(self, piece: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.as_letters))], "<u4").tobytes()
+        if piece.isascii() and piece.isprintable():
+            shown = piece.replace(" ", self.shown[32])
+        else:
+            shown = piece.encode().decode("latin-1").translate(self.as_letters)
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def word(self, word: str) -> bytes:
+        """Most words are letters, perhaps with a mark behind: these are one or two pieces."""
+        w = word if self.byte_level else word.lower()
+        if w and len(w) <= LONGEST and (w.isascii() or max(w) < "ɐ"):
+            if w.isalpha():
+                return self.pieces[self.lead + w]
+            if w[-1] in ".,;:" and w[:-1].isalpha():
+                return self.pieces[self.lead + w[:-1]] + self.pieces[w[-1]]
+        return self.plain(self.lead + word)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
@@ -78,15 +96,13 @@ class WordTokenizer:
         if not text:
             return b""
         if not self.byte_level:
-            # ASCII white space is where words end; bytes split at just these
-            return b"".join(map(self.words.__getitem__, text.translate(ASCII_SPACE).split(" ")))
+            # str.split also parts at four controls that the file keeps
+            parts = SPACE.split(text) if CONTROL.search(text) else text.split()
+            return b"".join(map(self.words.__getitem__, parts))
         parts = SINGLE.split(text) if TOUCHING.search(text) else text.split(" ")
         return self.plain(parts[0]) + b"".join(map(self.words.__getitem__, parts[1:]))
 
 
-ASCII_SPACE = {c: " " for c in (9, 10, 11, 12, 13)}
-
-
 @lru_cache(maxsize=4)
 def word_tokenizer(path: str, byte_level: bool) -> WordTokenizer:
     """One for each worker and file; the path must be readable on every executor."""
