@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barwave.session import cut, ensure_checkpoint_dir
 
-__all__ = ["WORD", "broadcast_if_small", "crc_mod", "cut", "ensure_checkpoint_dir", "let", "n_words", "shuffles"]
+__all__ = ["WORD", "broadcast_if_small", "crc_mod", "cut", "ensure_checkpoint_dir", "let", "n_words", "release", "shuffles"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -37,3 +38,9 @@ def broadcast_if_small(df: DataFrame, most_rows: int = 20_000) -> DataFrame:
 
 def shuffles(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove shuffle files and checkpoints of frames that nothing refers to any more: it does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

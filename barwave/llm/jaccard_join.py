@@ -19,12 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barwave.llm.common import WORD, broadcast_if_small, cut, ensure_checkpoint_dir
+from barwave.llm.common import WORD, broadcast_if_small, cut, ensure_checkpoint_dir, release, shuffles
 
 WORDS = 5
 NUM, DEN = 80, 100  # linked when DEN * intersection >= NUM * union
 RADIUS = 1 - NUM / DEN
-CELLS = 128
+CELLS = 512
 HEAVY = 40_000  # commonest shingles that come last in the order, by count
 HEAVY_IN_TASK = 12
 SMALL = 12  # blocks and rings of so many members are joined directly
@@ -50,8 +50,8 @@ def mix64(v: np.ndarray) -> np.ndarray:
     return v ^ (v >> np.uint64(31))
 
 
-def shingles(text: str | None, hashes: WordHashes, width: int = WORDS) -> np.ndarray:
-    """Sorted 64-bit hashes of a text's distinct shingles; A-Z is lower-cased and ASCII white space parts words (so bytes do both).
+def all_shingles(text: str | None, hashes: WordHashes, width: int = WORDS) -> np.ndarray:
+    """64-bit hashes of a text's shingles in order; A-Z is lower-cased and ASCII white space parts words (so bytes do both).
 
     A text of fewer words than ``width`` has one shingle, all its words; without words it has none.
     """
@@ -63,7 +63,12 @@ def shingles(text: str | None, hashes: WordHashes, width: int = WORDS) -> np.nda
     v = np.zeros(n - width + 1, np.uint64)
     for k in range(width):
         v += h[k : n - width + 1 + k] * MULTIPLIERS[k % 5] ^ np.uint64(k // 5)
-    return np.unique(mix64(v))
+    return mix64(v)
+
+
+def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
+    """The set of a text: its distinct shingles, sorted."""
+    return np.unique(all_shingles(text, hashes))
 
 
 def signature(s: np.ndarray) -> int:
@@ -79,7 +84,7 @@ def heavy_shingles(docs: DataFrame) -> np.ndarray:
     """The commonest shingles over all texts, rarest first: at most ``HEAVY``. They only decide the order, not the result."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, n, seen = WordHashes(), [], 0, set()
+        hashes, held, n = WordHashes(), [], 0
 
         def counted() -> pa.RecordBatch:
             v, c = np.unique(np.concatenate(held), return_counts=True)
@@ -88,17 +93,11 @@ def heavy_shingles(docs: DataFrame) -> np.ndarray:
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                s = shingles(text, hashes)
-                sig = signature(s)
-                if sig in seen:
-                    continue
-                seen.add(sig)
-                held.append(s)
-                n += len(s)
+                held.append(all_shingles(text, hashes))
+                n += len(held[-1])
                 if n > 4_000_000:
                     yield counted()
                     held, n = [], 0
-                    seen.clear()
         if held:
             yield counted()
 
@@ -107,6 +106,53 @@ def heavy_shingles(docs: DataFrame) -> np.ndarray:
     return np.array([r["g"] for r in reversed(rows)], np.int64).view(np.uint64)
 
 
+def block_members(each: DataFrame, small: int) -> DataFrame:
+    """What the blocks of ``each`` (``region``, ``sig``, ``n``) give: ``region, a, b, n``.
+
+    A block of at most ``small`` members gives its pairs (a < b) whose sizes allow a link, with region null; of a larger one each
+    member is a row (a, its size n) with b null. Blocks of one set give nothing. Rows
+    come by region in one shuffle and are read as a stream; only the commonest shingles have long blocks, and those go another way.
+    """
+
+    def pairs_of(region: np.ndarray, sig: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        """Whole blocks, sorted by region and sig, without repeats."""
+        starts = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1]]))
+        sizes = np.diff(np.concatenate([starts, [len(region)]]))
+        size = np.repeat(sizes, sizes)
+        few = size <= small
+        a, b = [], []
+        for k in range(1, min(small, int(sizes.max())) if len(sizes) else 0):
+            same = few[:-k] & (region[:-k] == region[k:]) & (n[:-k] * DEN >= n[k:] * NUM) & (n[k:] * DEN >= n[:-k] * NUM)
+            i = np.flatnonzero(same)
+            a.append(sig[i])
+            b.append(sig[i + k])
+        big = np.flatnonzero(~few)
+        m = sum(map(len, a))
+        left = np.concatenate([*a, sig[big]]) if a else sig[big]
+        cols = [
+            pa.array(np.concatenate([np.zeros(m, np.int64), region[big]]), mask=np.arange(m + len(big)) < m),
+            pa.array(left),
+            pa.array(np.concatenate([*b, np.zeros(len(big), np.int64)]), mask=np.arange(m + len(big)) >= m),
+            pa.array(np.concatenate([np.zeros(m, np.int64), n[big]])),
+        ]
+        return pa.record_batch(cols, ["region", "a", "b", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
+        for batch in batches:
+            rows = [np.concatenate([old, batch.column(c).to_numpy()]) for c, old in enumerate(rest)]
+            new = np.concatenate([[True], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])])
+            rows = [r[new] for r in rows]
+            last = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0  # the last block may go on
+            rest = [r[last:] for r in rows]
+            if last:
+                yield pairs_of(*(r[:last] for r in rows))
+        if len(rest[0]):
+            yield pairs_of(*rest)
+
+    return each.repartition(shuffles(each), "region").sortWithinPartitions("region", "sig").mapInArrow(run, "region long, a long, b long, n long")
+
+
 def row_key(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").withColumn("row", F.xxhash64("doc_id", "text"))
 
@@ -136,7 +182,7 @@ def set_table(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(sig[-1])
-                    cells.append(np.minimum(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes())
+                    cells.append(np.minimum(np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes())
                     order = s
                     if len(values):
                         place = np.minimum(np.searchsorted(values, s), len(values) - 1)
@@ -175,17 +221,20 @@ def distances(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
+        done: set[int] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                items = [shingles(t, hashes).view(np.int64) for t in some.column(1).to_pylist()]
-                yield pa.record_batch([some.column(0), pa.array(items, pa.list_(pa.int64()))], ["sig", "items"])
+                new = {s: t for s, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True) if s not in done}
+                done.update(new)
+                items = [shingles(t, hashes).view(np.int64) for t in new.values()]
+                yield pa.record_batch([pa.array(list(new), pa.int64()), pa.array(items, pa.list_(pa.int64()))], ["sig", "items"])
 
     used = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "sig")
     wanted = cut(sets.select("sig", "row").join(used, "sig"))
-    texts = row_key(docs).join(broadcast_if_small(wanted, 200_000), "row").select("sig", "text").dropDuplicates(["sig"])
+    texts = row_key(docs).join(broadcast_if_small(wanted, 200_000), "row").select("sig", "text")
     items = texts.mapInArrow(run, "sig long, items array<long>")
-    folder = written(items)
+    folder = cut(items)
     one = folder.select(F.col("sig").alias("a"), F.col("items").alias("items_a"))
     two = folder.select(F.col("sig").alias("b"), F.col("items").alias("items_b"))
     common = F.size(F.array_intersect("items_a", "items_b"))
@@ -257,47 +306,49 @@ def linked_rows(docs: DataFrame, small: int = SMALL, levels: int = LEVELS) -> Da
     rows = written(set_table(docs, heavy_shingles(docs)))
     firsts = rows.filter("prefix is not null")
     sets = cut(firsts.groupBy("sig").agg(F.min(F.struct("row", "n", "cells")).alias("s")).select("sig", "s.*"))
-    each = firsts.select(F.explode("prefix").alias("region"), "sig", "n")
-    blocks = each.groupBy("region").agg(F.min("sig").alias("low"), F.max("sig").alias("high"), F.count("*").alias("size")).filter("low <> high").select("region", "size")
-    members = written(each.join(blocks, "region").distinct())
-
-    few = members.filter(F.col("size") <= small).drop("size")
-    one = few.select("region", F.col("sig").alias("a"), F.col("n").alias("n_a"))
-    two = few.select("region", F.col("sig").alias("b"), F.col("n").alias("n_b"))
-    fits = (F.col("n_a") * DEN >= F.col("n_b") * NUM) & (F.col("n_b") * DEN >= F.col("n_a") * NUM)
-    direct = one.join(two, "region").filter((F.col("a") < F.col("b")) & fits).select("a", "b")
-    large = members.filter(F.col("size") > small).drop("size")
+    made = written(block_members(firsts.select(F.explode("prefix").alias("region"), "sig", "n"), small))
+    release(docs.sparkSession)
+    direct = made.filter("b is not null").select("a", "b")
+    large = made.filter("b is null").select("region", F.col("a").alias("sig"), "n")
     tested = pivot_pairs(large, 0, PIVOTS).filter("sig <> pivot").select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b"))
     pairs = cut(close_enough(direct.union(tested).distinct(), sets))
     found = cut(distances(pairs, docs, sets))
     links = found.filter("linked").select("a", "b")
     comps = cut(components(links))
-
+    del pairs, direct, tested
+    release(docs.sparkSession)
+    before = None
     for level in range(levels + 1):
         known = large.join(comps, large["sig"] == comps["node"], "left").select("region", "sig", "n", F.coalesce("component", "sig").alias("component"))
         mixed = known.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low <> high")
         open_regions = cut(known.join(mixed.select("region", "size"), "region"))
         if open_regions.isEmpty():
             break
-        last = level == levels
+        wide = open_regions.filter(F.col("size") > 4 * small).count()
+        last = level == levels or not wide or (before is not None and wide > 0.7 * before)  # rings no longer part the members
+        before = wide
         now = open_regions if last else open_regions.filter(F.col("size") <= 4 * small)
         later = None if last else open_regions.filter(F.col("size") > 4 * small)
+        known_pairs = found.select("a", "b")
         wanted = ring_pairs(now.drop("size"))
-        if later is not None:
-            pivoted = pivot_pairs(later.drop("size"), level + 1, 1)
+        if not last:
+            pivoted = cut(pivot_pairs(later.drop("size"), level + 1, 1))
             wanted = wanted.union(pivoted.filter("sig <> pivot").select(F.least("sig", "pivot"), F.greatest("sig", "pivot")))
-        fresh = wanted.distinct().join(found, ["a", "b"], "left_anti")
-        measured = cut(distances(cut(close_enough(fresh, sets)), docs, sets))
+        fresh = close_enough(wanted.distinct().join(known_pairs, ["a", "b"], "left_anti"), sets)
+        measured = cut(distances(cut(fresh), docs, sets))
         found = cut(found.union(measured))
         if not measured.filter("linked").isEmpty():
             links = cut(links.union(measured.filter("linked").select("a", "b")))
             comps = cut(components(links))
-        if later is None:
+        del fresh, measured
+        release(docs.sparkSession)
+        if last:
             break
-        # a pair that sizes or cells rule out is farther apart than the radius, by an unknown distance: such a member joins every outer ring
         apart = F.when(F.col("sig") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("distance"))
-        placed = pivoted.join(found, (F.least("sig", "pivot") == found["a"]) & (F.greatest("sig", "pivot") == found["b"]), "left").withColumn("apart", apart)
-        ring = F.when(F.col("apart").isNull(), F.sequence(F.lit(1), F.lit(int(1 / RADIUS) + 1))).otherwise(F.array(F.floor(F.col("apart") / RADIUS).cast("int"), F.floor(F.col("apart") / RADIUS).cast("int") + 1))
+        placed = pivoted.join(found, (F.least("sig", "pivot") == found["a"]) & (F.greatest("sig", "pivot") == found["b"]), "left")
+        ring = F.floor(apart / RADIUS + 1e-9).cast("int")  # the sum keeps a distance on an edge in the outer of two rings
+        # sizes or cells may rule a pivot out: then the distance is beyond the radius but unknown, and the member joins every outer ring
+        ring = F.when(apart.isNull(), F.sequence(F.lit(1), F.lit(int(1 / RADIUS) + 1))).otherwise(F.array(ring, ring + 1))
         large = cut(
             placed.select("region", "sig", "n", F.explode(ring).alias("ring"))
             .select(F.xxhash64("region", "ring", F.lit(level)).alias("region"), "sig", "n")
