@@ -19,6 +19,7 @@ def session(app: str = "barwave", master: str | None = None, **conf: str) -> Spa
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         **conf,
     }
     for k, v in settings.items():
@@ -27,12 +28,16 @@ def session(app: str = "barwave", master: str | None = None, **conf: str) -> Spa
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by the cluster; make a local one only where none is named (tests)."""
+    """Use the shared folder the cluster names in ``spark.checkpoint.dir``. Only a local master gets a folder made where none is named."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is not None:
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp")))
+    if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
+        named = tempfile.mkdtemp(prefix="spark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    sc.setCheckpointDir(named)
 
 
 def cut(df: DataFrame) -> DataFrame:
