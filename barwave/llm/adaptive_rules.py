@@ -81,7 +81,7 @@ def bin_start(b: Column) -> Column:
 def sketches(measured: DataFrame) -> DataFrame:
     """Counts by bin of each measure for each language and source. Sketches merge by adding counts, in any order."""
     ratio = [
-        F.struct(F.lit(name).alias("measure"), F.when(F.col(den) > 0, F.floor(F.col(num) * scale / F.col(den))).cast("long").alias("value"))
+        F.struct(F.lit(name).alias("measure"), F.floor(F.try_divide(F.col(num) * scale, F.col(den))).cast("long").alias("value"))
         for name, (num, den, scale, *_) in RULES.items()
     ]
     each = measured.select("lang", "source", F.explode(F.array(*ratio)).alias("m")).select("lang", "source", "m.*").filter(F.col("value").isNotNull())
@@ -133,7 +133,7 @@ def judge(measured: DataFrame, min_docs: int = MIN_DOCS, least_words: int = 50,
     joined = rows.withColumn("k", key("lang", "source")).join(broadcast_if_small(fences.withColumn("k", key("f_lang", "f_source"))), "k", "left")
     inside = F.lit(True)
     for name, (num, den, scale, _, _, lower) in RULES.items():
-        value = F.floor(F.col(num) * scale / F.col(den))
+        value = F.floor(F.try_divide(F.col(num) * scale, F.col(den)))
         inside &= F.coalesce(value <= F.col(f"{name}_high"), F.lit(True))
         if lower:
             inside &= F.coalesce(value >= F.col(f"{name}_low"), F.lit(True))
