@@ -2,8 +2,9 @@
 
 Jaccard distance d = 1 - J is a metric. Texts that share no shingle are at distance 1, so regions are only made among texts that
 share one of their first shingles in a common order (rare ones first; two texts within the radius always share one). In such
-a block a few pivots, chosen by shared random orders, get their distance to every member: what is within the radius is linked to
-the pivot. Links inside a component add nothing, so only blocks that still hold two components go on: by the triangle inequality
+a block the place of the shared shingle bounds the size of a linked text, which rules most pairs out. The member with the fewest
+shingles before the shared one (of near copies, the one the others were made from) is the pivot and gets its distance to every
+member: what is within the radius is linked to the pivot. Links inside a component add nothing, so only blocks that still hold two components go on: by the triangle inequality
 two linked texts differ by at most the radius in their distance to any pivot, so members are cut into rings of that width, copied
 to the ring above, and joined ring by ring; large rings choose pivots of their own and are cut again.
 """
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barwave.llm.common import WORD, broadcast_if_small, cut, ensure_checkpoint_dir, release, shuffles
@@ -28,7 +29,6 @@ CELLS = 512
 HEAVY = 40_000  # commonest shingles that come last in the order, by count
 HEAVY_IN_TASK = 12
 SMALL = 12  # blocks and rings of so many members are joined directly
-PIVOTS = 6
 LEVELS = 3
 WORD_CACHE = 300_000
 
@@ -106,23 +106,52 @@ def heavy_shingles(docs: DataFrame) -> np.ndarray:
     return np.array([r["g"] for r in reversed(rows)], np.int64).view(np.uint64)
 
 
+def largest_partner(n: Column, pos: Column) -> Column:
+    """The largest size of a linked set if the shingle at ``pos`` of a set of ``n`` is the first that both share in the common order.
+
+    Then at most ``n - pos`` shingles are common, and a link needs (DEN + NUM) * common >= NUM * (n + other).
+    """
+    return F.floor((n - pos) * (DEN + NUM) / NUM).cast("long") - n
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """``n_most`` holds size and largest partner in one number, for smaller rows on their way."""
+    return df.withColumn("n", F.shiftright("n_most", 32)).withColumn("most", F.col("n_most").bitwiseAND(F.lit(0xFFFFFFFF))).drop("n_most")
+
+
+def with_partner(n: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which members of a block may have a linked one of at most their own size or are early enough in their order for an equal one."""
+    order = np.argsort(n, kind="stable")
+    reach = np.maximum.accumulate(most[order])  # of all members up to a size
+    up_to = np.searchsorted(n[order], most, side="right")
+    return (most >= n) | ((up_to > 0) & (reach[np.maximum(up_to - 1, 0)] >= n))
+
+
 def block_members(each: DataFrame, small: int) -> DataFrame:
-    """What the blocks of ``each`` (``region``, ``sig``, ``n``) give: ``region, a, b, n``.
+    """What the blocks of ``each`` (``region``, ``sig``, ``n_most``) give: ``region, a, b, n_most``.
 
-    A block of at most ``small`` members gives its pairs (a < b) whose sizes allow a link, with region null; of a larger one each
-    member is a row (a, its size n) with b null. Blocks of one set give nothing. Rows
+    A block of at most ``small`` members gives its pairs (a < b) whose sizes and places allow a link, with region null; of a larger
+    one each member that may have a partner is a row (a, its ``n_most``) with b null. Blocks of one set give nothing. Rows
     come by region in one shuffle and are read as a stream; only the commonest shingles have long blocks, and those go another way.
     """
 
-    def pairs_of(region: np.ndarray, sig: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    def pairs_of(region: np.ndarray, sig: np.ndarray, n_most: np.ndarray) -> pa.RecordBatch:
         """Whole blocks, sorted by region and sig, without repeats."""
+        n, most = n_most >> 32, n_most & 0xFFFFFFFF
+        starts = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1]]))
+        ends = np.concatenate([starts[1:], [len(region)]])
+        keep = np.ones(len(region), bool)
+        for k in np.flatnonzero(ends - starts > small):
+            block = slice(starts[k], ends[k])
+            keep[block] = with_partner(n[block], most[block])
+        region, sig, n_most, n, most = (c[keep] for c in (region, sig, n_most, n, most))
         starts = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1]]))
         sizes = np.diff(np.concatenate([starts, [len(region)]]))
         size = np.repeat(sizes, sizes)
         few = size <= small
         a, b = [], []
         for k in range(1, min(small, int(sizes.max())) if len(sizes) else 0):
-            same = few[:-k] & (region[:-k] == region[k:]) & (n[:-k] * DEN >= n[k:] * NUM) & (n[k:] * DEN >= n[:-k] * NUM)
+            same = few[:-k] & (region[:-k] == region[k:]) & (n[:-k] <= most[k:]) & (n[k:] <= most[:-k])
             i = np.flatnonzero(same)
             a.append(sig[i])
             b.append(sig[i + k])
@@ -133,9 +162,9 @@ def block_members(each: DataFrame, small: int) -> DataFrame:
             pa.array(np.concatenate([np.zeros(m, np.int64), region[big]]), mask=np.arange(m + len(big)) < m),
             pa.array(left),
             pa.array(np.concatenate([*b, np.zeros(len(big), np.int64)]), mask=np.arange(m + len(big)) >= m),
-            pa.array(np.concatenate([np.zeros(m, np.int64), n[big]])),
+            pa.array(np.concatenate([np.zeros(m, np.int64), n_most[big]])),
         ]
-        return pa.record_batch(cols, ["region", "a", "b", "n"])
+        return pa.record_batch(cols, ["region", "a", "b", "n_most"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
@@ -150,7 +179,7 @@ def block_members(each: DataFrame, small: int) -> DataFrame:
         if len(rest[0]):
             yield pairs_of(*rest)
 
-    return each.repartition(shuffles(each), "region").sortWithinPartitions("region", "sig").mapInArrow(run, "region long, a long, b long, n long")
+    return each.repartition(shuffles(each), "region").sortWithinPartitions("region", "sig").mapInArrow(run, "region long, a long, b long, n_most long")
 
 
 def row_key(docs: DataFrame) -> DataFrame:
@@ -282,22 +311,25 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
 
 
 def ring_pairs(members: DataFrame) -> DataFrame:
-    """All pairs of different components within each region that the sizes allow: ``members`` has region, sig, n, component.
+    """All pairs of different components within each region that sizes and places allow: ``members`` has region, sig, n, most, component.
 
     A region's members are dealt to slices, and slices meet in pairs, so no task holds a large region.
     """
     slices = 8
     part = members.withColumn("slice", F.pmod(F.xxhash64("sig"), F.lit(slices)))
-    left = part.select("region", "slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("other"), F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    right = part.select("region", F.col("slice").alias("other"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"))
-    met = left.join(right, ["region", "slice", "other"]).filter("a < b and c_a <> c_b")
-    return met.filter((F.col("n_a") * DEN >= F.col("n_b") * NUM) & (F.col("n_b") * DEN >= F.col("n_a") * NUM)).select("a", "b")
+    left = part.select("region", "slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("other"), F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("most").alias("most_a"), F.col("component").alias("c_a"))
+    right = part.select("region", F.col("slice").alias("other"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("most").alias("most_b"), F.col("component").alias("c_b"))
+    return left.join(right, ["region", "slice", "other"]).filter("a < b and c_a <> c_b and n_a <= most_b and n_b <= most_a").select("a", "b")
 
 
-def pivot_pairs(members: DataFrame, level: int, pivots: int) -> DataFrame:
-    """Each member of a region with the region's pivot, the first member in one of ``pivots`` shared random orders: region, sig, pivot."""
-    order = F.xxhash64("sig", F.lit(level), F.pmod(F.col("region"), F.lit(pivots)))
-    first = members.groupBy("region").agg(F.min(F.struct(order.alias("o"), F.col("sig").alias("s"))).alias("p"))
+def pivot_pairs(members: DataFrame, level: int) -> DataFrame:
+    """Each member of a region with the region's pivot: region, sig, n, most, pivot.
+
+    First the pivot is the member that has the fewest shingles before the shared one, for its size; a later level takes a random one.
+    """
+    place = -F.col("most") / F.col("n") if level == 0 else F.lit(0.0)
+    order = F.struct(place.alias("place"), F.xxhash64("sig", F.lit(level)).alias("o"), F.col("sig").alias("s"))
+    first = members.groupBy("region").agg(F.min(order).alias("p"))
     return members.join(first.select("region", F.col("p.s").alias("pivot")), "region")
 
 
@@ -306,11 +338,13 @@ def linked_rows(docs: DataFrame, small: int = SMALL, levels: int = LEVELS) -> Da
     rows = written(set_table(docs, heavy_shingles(docs)))
     firsts = rows.filter("prefix is not null")
     sets = cut(firsts.groupBy("sig").agg(F.min(F.struct("row", "n", "cells")).alias("s")).select("sig", "s.*"))
-    made = written(block_members(firsts.select(F.explode("prefix").alias("region"), "sig", "n"), small))
+    each = firsts.select(F.posexplode("prefix").alias("pos", "region"), "sig", "n")
+    n_most = F.shiftleft("n", 32) + largest_partner(F.col("n"), F.col("pos"))
+    made = written(block_members(each.select("region", "sig", n_most.alias("n_most")), small))
     release(docs.sparkSession)
     direct = made.filter("b is not null").select("a", "b")
-    large = made.filter("b is null").select("region", F.col("a").alias("sig"), "n")
-    tested = pivot_pairs(large, 0, PIVOTS).filter("sig <> pivot").select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b"))
+    large = sized(made.filter("b is null").select("region", F.col("a").alias("sig"), "n_most"))
+    tested = pivot_pairs(large, 0).filter("sig <> pivot").select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b"))
     pairs = cut(close_enough(direct.union(tested).distinct(), sets))
     found = cut(distances(pairs, docs, sets))
     links = found.filter("linked").select("a", "b")
@@ -319,7 +353,7 @@ def linked_rows(docs: DataFrame, small: int = SMALL, levels: int = LEVELS) -> Da
     release(docs.sparkSession)
     before = None
     for level in range(levels + 1):
-        known = large.join(comps, large["sig"] == comps["node"], "left").select("region", "sig", "n", F.coalesce("component", "sig").alias("component"))
+        known = large.join(comps, large["sig"] == comps["node"], "left").select("region", "sig", "n", "most", F.coalesce("component", "sig").alias("component"))
         mixed = known.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).filter("low <> high")
         open_regions = cut(known.join(mixed.select("region", "size"), "region"))
         if open_regions.isEmpty():
@@ -332,7 +366,7 @@ def linked_rows(docs: DataFrame, small: int = SMALL, levels: int = LEVELS) -> Da
         known_pairs = found.select("a", "b")
         wanted = ring_pairs(now.drop("size"))
         if not last:
-            pivoted = cut(pivot_pairs(later.drop("size"), level + 1, 1))
+            pivoted = cut(pivot_pairs(later.drop("size"), level + 1))
             wanted = wanted.union(pivoted.filter("sig <> pivot").select(F.least("sig", "pivot"), F.greatest("sig", "pivot")))
         fresh = close_enough(wanted.distinct().join(known_pairs, ["a", "b"], "left_anti"), sets)
         measured = cut(distances(cut(fresh), docs, sets))
@@ -350,8 +384,8 @@ def linked_rows(docs: DataFrame, small: int = SMALL, levels: int = LEVELS) -> Da
         # sizes or cells may rule a pivot out: then the distance is beyond the radius but unknown, and the member joins every outer ring
         ring = F.when(apart.isNull(), F.sequence(F.lit(1), F.lit(int(1 / RADIUS) + 1))).otherwise(F.array(ring, ring + 1))
         large = cut(
-            placed.select("region", "sig", "n", F.explode(ring).alias("ring"))
-            .select(F.xxhash64("region", "ring", F.lit(level)).alias("region"), "sig", "n")
+            placed.select("region", "sig", "n", "most", F.explode(ring).alias("ring"))
+            .select(F.xxhash64("region", "ring", F.lit(level)).alias("region"), "sig", "n", "most")
             .distinct()
         )
 
