@@ -279,69 +279,60 @@ def pivots_left_right(bars: DataFrame, periods: Sequence[int], right: int | None
     return out.where(F.col("is_high") | F.col("is_low"))
 
 
-def _walk_back(up: np.ndarray, dn: np.ndarray, is_up: np.ndarray, is_dn: np.ndarray, c: int, period: int, floor: int):
-    """X, A, B before C: alternating pivots with nothing beyond the bounds in between."""
-    points, bound = [], up[c]
-    lo = max(0, c - period + 1)
-    top, bottom = up[lo : c + 1].max(), dn[lo : c + 1].min()
-    want_up = False
-    for j in range(c - period, floor - 1, -1):
-        top, bottom = max(top, up[j]), min(bottom, dn[j])
-        if want_up:
-            if bottom < bound:
-                return None
-            if is_dn[j] or not is_up[j]:
-                continue
-            if up[j] < bound or top > up[j]:
-                return None
-            bound = up[j]
-        else:
-            if top > bound:
-                return None
-            if is_up[j] or not is_dn[j]:
-                continue
-            if dn[j] > bound or bottom < dn[j]:
-                return None
-            bound = dn[j]
-        points.append(j)
-        if len(points) == 3:
-            return points[2], points[1], points[0]
-        want_up = not want_up
-        top, bottom = -np.inf, np.inf
-    return None
+class Extremes:
+    """Largest value of spans of a series, from the maxima of all spans of 1, 2, 4, ... values."""
+
+    def __init__(self, values: np.ndarray, longest: int):
+        self.spans, width = [values], 1
+        while 2 * width <= min(longest, len(values)):
+            self.spans.append(np.maximum(self.spans[-1][:-width], self.spans[-1][width:]))
+            width *= 2
+
+    def __call__(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        level, out = np.frexp(last - first + 1)[1] - 1, np.empty(len(first))
+        for k in np.unique(level):
+            at = level == k
+            out[at] = np.maximum(self.spans[k][first[at]], self.spans[k][last[at] - (1 << k) + 1])
+        return out
+
+    def peaks(self, back: int, ahead: int) -> np.ndarray:
+        """Places not exceeded ``back`` values before and ``ahead`` values after them."""
+        at = np.arange(back, len(self.spans[0]) - ahead)
+        return at[self(at - back, at + ahead) <= self.spans[0][at]]
+
+
+def _nearest(points: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    """The largest of the sorted ``points`` up to each limit, -1 if there is none."""
+    return np.append(-1, points)[np.searchsorted(points, limit, side="right")]
 
 
 _XABC = "symbol string, tf string, is_bull boolean, period int, x_bar long, a_bar long, b_bar long, c_bar long, x double, a double, b double, c double"
 
 
 def _xabc_of_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Per period, all C pivots at once: B, A and X are the nearest earlier pivots of the other kind, and a leg holds if no bar of it goes beyond its ends."""
     pdf = pdf.sort_values("bar_index")
-    idx, high, low = (pdf[c].to_numpy() for c in ("bar_index", "high", "low"))
-    first, own = int(idx[0]), pdf["_own"].to_numpy()
-    n, rows = len(idx), []
-    extreme = lambda v, w: pd.Series(v).rolling(w).max().to_numpy()
+    idx, high, low, own = (pdf[c].to_numpy() for c in ("bar_index", "high", "low", "_own"))
+    parts = []
     for bull in (True, False):
         up, dn = (high, low) if bull else (-low, -high)
+        top, bottom = (Extremes(v, max(DEPTH, 2 * MAX_PERIOD) + 1) for v in (up, -dn))
         for period in range(MIN_PERIOD, MAX_PERIOD + 1):
-            if n < period + 2:
-                break
-            width = 2 * period + 1
-            centred = lambda v: np.concatenate([np.full(period, np.inf), extreme(v, width)[width - 1 :], np.full(period, np.inf)])[:n] if n >= width else np.full(n, np.inf)
-            is_up, is_dn = centred(up) <= up, centred(-dn) <= -dn
-            # C: not exceeded in [c - period, c + 1]
-            tail = extreme(up, period + 2)
-            for c in np.flatnonzero(np.append(tail[1:], np.nan) <= up):
-                if not own[c]:
-                    continue
-                bar = first + int(c)
-                floor = max(period, bar - min(DEPTH, LOOKBACK_MULT * period)) - first
-                hit = _walk_back(up, dn, is_up, is_dn, int(c), period, max(floor, 0))
-                if hit:
-                    x, a, b = hit
-                    price = (low[x], high[a], low[b], high[c]) if bull else (high[x], low[a], high[b], low[c])
-                    rows.append((bull, period, first + x, first + a, first + b, bar, *map(float, price)))
-    cols = [f.split()[0] for f in _XABC.split(", ")][2:]
-    out = pd.DataFrame(rows, columns=cols)
+            highs, lows = top.peaks(period, period), bottom.peaks(period, period)
+            highs, lows = np.setdiff1d(highs, lows), np.setdiff1d(lows, highs)
+            c = top.peaks(period, 1)
+            found = c[own[c]][None, :]  # newest point first
+            for older_kind, gap, inside in ((lows, period, 0), (highs, 1, 1), (lows, 1, 1)):
+                oldest = np.maximum(np.maximum(found[0] - min(DEPTH, LOOKBACK_MULT * period), period - idx[0]), 0)
+                older = _nearest(older_kind, found[-1] - gap)
+                found = np.vstack([found, older])[:, older >= oldest]
+                newer, older = found[-2:]
+                peak, trough = (older, newer) if older_kind is highs else (newer, older)
+                found = found[:, (top(older, newer - inside) <= up[peak]) & (bottom(older, newer - inside) <= -dn[trough])]
+            c, b, a, x = found
+            of = {"x": (x, dn), "a": (a, up), "b": (b, dn), "c": (c, up)}
+            parts.append(pd.DataFrame({"is_bull": bull, "period": period} | {f"{k}_bar": idx[at] for k, (at, _) in of.items()} | {k: np.abs(v[at]) for k, (at, v) in of.items()}))
+    out = pd.concat(parts, ignore_index=True)
     out.insert(0, "symbol", pdf["symbol"].iloc[0])
     out.insert(1, "tf", pdf["tf"].iloc[0])
     return out

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +12,7 @@ from barwave.operators.harmonic import DEPTH, default_targets, pattern_height, s
 from barwave.operators.joins import first_hit, range_join
 from barwave.operators.outcomes import break_even_outcomes, signal_outcomes
 from barwave.operators.pivots import with_pivot_seq, zigzag_bps_fold
-from barwave.operators.series import KEY, Fold, fold_series, framed, halo, with_seq
+from barwave.operators.series import KEY, Fold, fold_series, framed, with_seq
 from barwave.operators.waves import PRICE_RULES, leg_windows
 
 SL_PERCENT = 2.0
@@ -106,61 +105,60 @@ REACH, ALTERNATIVES, PULLBACK = 40, 4, 0.5
 PENETRATION, MIN_W4_W3, MIN_W4_W2_LEVEL, MAX_SPILL, MAX_DURATION, MIN_W5 = 0.03, 0.382, 0.236, 0.005, 8.0, 0.786
 
 
-def extend_wave(values: list[float], start: int, limit: int, rising: bool, tolerance: float = PULLBACK) -> int:
-    """Last extreme of a wave from ``start`` that forgives pull-backs up to a share of its length (values face upward)."""
-    s = 1.0 if rising else -1.0
-    if start + 1 > limit:
-        return start
-    best = start + 1
-    for i in range(best + 1, limit + 1):
-        gain = s * (values[i] - values[best])
-        if gain > 0:
-            best = i
-        elif -gain > tolerance * max(1e-12, s * (values[best] - values[start])):
-            break
-    return best
-
-
-_SKELETON = "symbol string, tf string, is_up boolean, " + ", ".join(f"s{i} long" for i in range(5))
-
-
-def _carve(v, first, second, last):
-    ends = [first, second]
-    for rising in (False, True, False):
-        nxt = extend_wave(v, ends[-1], last, rising)
-        if nxt <= ends[-1] or (len(ends) < 4 and nxt >= last):
-            return None
-        ends.append(nxt)
-    return ends if ends[-1] == last else None
-
-
-def _skeletons_of_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("seq")
-    seq, raw, low, own = (pdf[c].tolist() for c in ("seq", "value", "is_low", "_own"))
-    rows = []
-    for k in range(len(seq)):
-        if not own[k]:
-            continue
-        up = bool(low[k])
-        v = raw if up else [-x for x in raw]
-        for last in range(k + 4, min(k + REACH, len(seq) - 1) + 1, 2):
-            one = extend_wave(v, k, last, True)
-            ends = _carve(v, k, one, last) if one > k else None
-            tried, alt = 0, min(one - 1, last - 3)
-            while ends is None and alt > k and tried < ALTERNATIVES:
-                if v[alt] > v[k] and v[alt] > v[alt + 1]:
-                    tried += 1
-                    ends = _carve(v, k, alt, last)
-                alt -= 1
-            if ends:
-                rows.append((pdf["symbol"].iloc[0], pdf["tf"].iloc[0], up, *[seq[e] for e in ends]))
-    return pd.DataFrame(rows, columns=["symbol", "tf", "is_up", *[f"s{i}" for i in range(5)]])
-
-
-def diagonal_skeletons(pivots: DataFrame, block: int = 1024) -> DataFrame:
-    """0-1-2-3-4 skeletons; point 0 owns a skeleton and sees the next ``REACH`` pivots."""
+def _wave_ends(tolerance: float) -> Column:
+    """For 1, 2, ... pivots ahead: how many pivots ahead the wave from this pivot ends if it may use so many.
+
+    ``_v`` holds this and the next prices, turned so that the wave rises. The wave is over at the first pull-back of more
+    than ``tolerance`` of its height until then; it ends at its highest price before that (the first, if several are equal).
+    """
+    v, n = F.col("_v"), F.size("_v") - 1
+    once = lambda value, fn: F.get(F.transform(F.array(value), fn), F.lit(0))
+    highest = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_max(F.slice(v, 2, i)))
+
+    def usable(peaks: Column) -> Column:
+        before = lambda i: F.get(peaks, i - 2)
+        pulled = lambda i: before(i) - F.get(v, i) > tolerance * F.greatest(F.lit(1e-12), before(i) - F.get(v, F.lit(0)))
+        return F.coalesce(F.when(n > 1, F.get(F.filter(F.sequence(F.lit(2), n), pulled), F.lit(0))) - 1, n)
+
+    place = lambda peaks, most: F.transform(F.sequence(F.lit(1), n), lambda i: (F.array_position(v, F.get(peaks, F.least(i, most) - 1)) - 1).cast("int"))
+    ends = once(highest, lambda peaks: once(usable(peaks), lambda most: place(peaks, most)))
+    return F.when(n >= 1, ends).otherwise(F.array().cast("array<int>"))
+
+
+def _skeleton_to(last: Column) -> Column:
+    """Points 1, 2, 3 (pivots ahead of point 0) of the skeleton whose point 4 is ``last`` pivots ahead; null if there is none.
+
+    Wave 1 is the longest possible, else one of the ``ALTERNATIVES`` next shorter ones that end in a peak; waves 2 to 4
+    are the longest possible, and wave 4 has to end at ``last``.
+    """
+    v, ends = F.col("_v"), F.col("_all")
+    end = lambda start: start + F.get(F.get(ends, start), last - start - 1)
+    one = F.get(F.get(ends, F.lit(0)), last - 1)
+    latest = F.least(one - 1, last - 3)
+    is_peak = lambda i: (F.get(v, i) > F.get(v, F.lit(0))) & (F.get(v, i) > F.get(v, i + 1))
+    shorter = F.when(latest >= 1, F.slice(F.filter(F.sequence(latest, F.lit(1), F.lit(-1)), is_peak), 1, ALTERNATIVES)).otherwise(F.array().cast("array<int>"))
+    two = F.transform(F.concat(F.array(one), shorter), lambda i: F.struct(i.alias("s1"), end(i).alias("s2")))
+    three = F.transform(F.filter(two, lambda w: w["s2"] < last), lambda w: F.struct(w["s1"].alias("s1"), w["s2"].alias("s2"), end(w["s2"]).alias("s3")))
+    return F.get(F.filter(three, lambda w: (w["s3"] < last) & (end(w["s3"]) == last)), F.lit(0))
+
+
+def diagonal_skeletons(pivots: DataFrame, block: int = 1024, tolerance: float = PULLBACK) -> DataFrame:
+    """0-1-2-3-4 skeletons; point 0 owns a skeleton and sees the next ``REACH`` pivots. Highs and lows of ``pivots`` take turns."""
     p = with_pivot_seq(pivots).select(*KEY, "seq", "bar_index", "value", (~F.col("is_high")).alias("is_low"))
-    found = halo(p, 0, REACH, "seq", block).groupBy(*KEY, "_blk").applyInPandas(_skeletons_of_block, _SKELETON)
+    facing = F.when(F.col("is_low"), 1.0).otherwise(-1.0)
+    ahead = lambda w: w.rowsBetween(0, REACH)
+    seen = framed(
+        p.withColumn("_up", facing), 0, REACH,
+        lambda w: {"_v": F.transform(F.collect_list("value").over(ahead(w)), lambda x: x * F.col("_up"))},
+        lambda w: {"_ends": _wave_ends(tolerance)},
+        lambda w: {"_all": F.collect_list("_ends").over(ahead(w))},
+        order="seq", block=block,
+    )
+    lasts = F.filter(F.array(*map(F.lit, range(4, REACH + 1, 2))), lambda i: i < F.size("_v"))
+    each = F.filter(F.transform(lasts, lambda i: F.struct(_skeleton_to(i).alias("inner"), i.alias("s4"))), lambda s: s["inner"].isNotNull())
+    found = seen.select(*KEY, F.col("is_low").alias("is_up"), "seq", F.explode(each).alias("_s"))
+    offsets = [F.lit(0), *[F.col(f"_s.inner.s{i}") for i in (1, 2, 3)], F.col("_s.s4")]
+    found = found.select(*KEY, "is_up", *[(F.col("seq") + o).alias(f"s{i}") for i, o in enumerate(offsets)])
     ids = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"s{i}").alias("seq")) for i in range(5)])
     long = found.withColumn("_e", F.explode(ids)).select(*KEY, "is_up", *[f"s{i}" for i in range(5)], "_e.i", "_e.seq")
     pts = long.join(p.select(*KEY, "seq", "bar_index", "value"), [*KEY, "seq"])

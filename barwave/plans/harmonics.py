@@ -70,7 +70,32 @@ def q_pivots(spark, sf):
     return hm.pivots_left_right(walk_bars(spark, sf), (5, 13, 34))
 
 
-@query("h03_find_xabc")
+_PIVOT = lambda other, at: f"ASOF JOIN {other} o ON t.symbol = o.symbol AND t.bull = o.bull AND t.period = o.period AND {at}"
+_SPAN = lambda values, first, last: f"{values}[{first} + 1 : {last} + 1]"
+XABC_SQL = with_bars(
+    f""", s AS (SELECT symbol, tf, bar_index, bull, CASE WHEN bull THEN high ELSE -low END AS up, CASE WHEN bull THEN low ELSE -high END AS dn
+      FROM bars, (VALUES (true), (false)) d(bull)),
+    l AS (SELECT symbol, bull, list(up ORDER BY bar_index) AS ups, list(dn ORDER BY bar_index) AS dns FROM s GROUP BY 1, 2),
+    f AS (SELECT s.*, period FROM s, (SELECT unnest(range({hm.MIN_PERIOD}, {hm.MAX_PERIOD} + 1)) AS period)),
+    q AS MATERIALIZED (SELECT *, count(*) OVER w = 2 * period + 1 AND max(up) OVER w <= up AS is_up, count(*) OVER w = 2 * period + 1 AND min(dn) OVER w >= dn AS is_dn,
+      count(*) OVER e = period + 2 AND max(up) OVER e <= up AS is_c FROM f WINDOW w AS (PARTITION BY symbol, bull, period ORDER BY bar_index
+      ROWS BETWEEN period PRECEDING AND period FOLLOWING), e AS (PARTITION BY symbol, bull, period ORDER BY bar_index ROWS BETWEEN period PRECEDING AND 1 FOLLOWING)),
+    highs AS (SELECT symbol, bull, period, bar_index AS at FROM q WHERE is_up AND NOT is_dn),
+    lows AS (SELECT symbol, bull, period, bar_index AS at FROM q WHERE is_dn AND NOT is_up),
+    tc AS (SELECT symbol, tf, bull, period, bar_index AS c_bar, bar_index - period AS reach, greatest(period, bar_index - least(500, 25 * period)) AS oldest FROM q WHERE is_c),
+    tb AS (SELECT t.*, o.at AS b_bar FROM tc t {_PIVOT('lows', 't.reach >= o.at')}),
+    ta AS (SELECT t.*, o.at AS a_bar FROM tb t {_PIVOT('highs', 't.b_bar > o.at')}),
+    tx AS (SELECT t.*, o.at AS x_bar FROM ta t {_PIVOT('lows', 't.a_bar > o.at')})
+    SELECT symbol, tf, bull AS is_bull, CAST(period AS INTEGER) AS period, x_bar, a_bar, b_bar, c_bar,
+      abs(dns[x_bar + 1]) AS x, abs(ups[a_bar + 1]) AS a, abs(dns[b_bar + 1]) AS b, abs(ups[c_bar + 1]) AS c
+    FROM tx JOIN l USING (symbol, bull) WHERE x_bar >= oldest
+      AND list_max({_SPAN('ups', 'b_bar', 'c_bar')}) <= ups[c_bar + 1] AND list_min({_SPAN('dns', 'b_bar', 'c_bar')}) >= dns[b_bar + 1]
+      AND list_max({_SPAN('ups', 'a_bar', 'b_bar - 1')}) <= ups[a_bar + 1] AND list_min({_SPAN('dns', 'a_bar', 'b_bar - 1')}) >= dns[b_bar + 1]
+      AND list_max({_SPAN('ups', 'x_bar', 'a_bar - 1')}) <= ups[a_bar + 1] AND list_min({_SPAN('dns', 'x_bar', 'a_bar - 1')}) >= dns[x_bar + 1]"""
+)
+
+
+@query("h03_find_xabc", XABC_SQL)
 def q_xabc(spark, sf):
     return hm.find_xabc(bar_table(spark, sf))
 

@@ -1,60 +1,31 @@
-"""The relational search against a bar-by-bar simulation on a small series."""
-
-import math
-
-from pyspark.sql import functions as F
+"""The search against its conditions told one by one on a small series."""
 
 from barwave.operators import harmonic as hm
 from tests.conftest import make_bars, rows, walk
 
 
-def test_pivot_search_matches_plain_scan(spark):
+def test_search_finds_the_triples_that_hold(spark):
+    """A triple is wanted if each point is the nearest pivot of its kind and no bar of a leg is beyond the leg's ends."""
     bars = make_bars(spark, walk(260, seed=21, step=3.0))
     pdf = bars.orderBy("bar_index").toPandas()
-    hi, lo, n = pdf.high.tolist(), pdf.low.tolist(), len(pdf)
-
-    def pivot(v, i, left, right, sign):
-        if i - left < 0 or i + right >= n:
-            return False
-        return all(sign * v[j] <= sign * v[i] for j in range(i - left, i + right + 1))
-
-    want = []
+    n, want = len(pdf), []
     for bull in (True, False):
-        up, dn = (hi, lo) if bull else ([-x for x in lo], [-x for x in hi])
-        for c in range(1, n - 1):
-            for p in range(hm.MIN_PERIOD, hm.MAX_PERIOD + 1):
-                if not pivot(up, c, p, 1, 1):
-                    continue
-                bound, state, found = up[c], 0, []
-                top = max(up[max(0, c - p + 1) : c + 1])
-                bottom = min(dn[max(0, c - p + 1) : c + 1])
-                for j in range(c - p, max(p, c - min(500, 25 * p)) - 1, -1):
-                    top, bottom = max(top, up[j]), min(bottom, dn[j])
-                    is_up, is_dn = pivot(up, j, p, p, 1), pivot(dn, j, p, p, -1)
-                    if state == 1:
-                        if bottom < bound or (is_dn and dn[j] < bound):
-                            break
-                        if is_dn or not is_up:
-                            continue
-                        if up[j] < bound or top > up[j]:
-                            break
-                        found.append(j)
-                        bound, state, top, bottom = up[j], 2, -math.inf, math.inf
-                        continue
-                    if top > bound or (is_up and up[j] > bound):
-                        break
-                    if is_up or not is_dn:
-                        continue
-                    if dn[j] > bound or bottom < dn[j]:
-                        break
-                    found.append(j)
-                    bound, top, bottom = dn[j], -math.inf, math.inf
-                    if state == 0:
-                        state = 1
-                    else:
-                        want.append((bull, p, found[2], found[1], found[0], c))
-                        break
+        up, dn = (pdf.high, pdf.low) if bull else (-pdf.low, -pdf.high)
+        for p in range(hm.MIN_PERIOD, hm.MAX_PERIOD + 1):
+            places = range(p, n - p)
+            highs = {j for j in places if up.iloc[j - p : j + p + 1].max() <= up[j]}
+            lows = {j for j in places if dn.iloc[j - p : j + p + 1].min() >= dn[j]}
+            highs, lows = highs - lows, lows - highs
+            latest = lambda points, before: max((j for j in points if j < before), default=-1)
+            inside = lambda first, last, peak, trough: up.iloc[first : last + 1].max() <= up[peak] and dn.iloc[first : last + 1].min() >= dn[trough]
+            for c in (j for j in range(p, n - 1) if up.iloc[j - p : j + 2].max() <= up[j]):
+                b = latest(lows, c - p + 1)
+                a = latest(highs, b)
+                x = latest(lows, a)
+                if x >= max(p, c - min(500, 25 * p)) and inside(b, c, c, b) and inside(a, b - 1, a, b) and inside(x, a - 1, a, x):
+                    want.append((bull, p, x, a, b, c))
     cols = ("is_bull", "period", "x_bar", "a_bar", "b_bar", "c_bar")
+    assert want
     assert rows(hm.find_xabc(bars), *cols) == sorted(want)
     assert rows(hm.find_xabc(bars, block=600), *cols) == sorted(want)
 

@@ -1,5 +1,7 @@
 """One passing and one failing pivot list per rule, in both directions."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,3 +59,42 @@ def test_running_flat_can_never_stand(spark):
     rules = wv.PRICE_RULES["FLAT_RUNNING"][3]
     df = spark.createDataFrame([(1.0, 100.0, float(c), 10.0) for c in range(60, 160, 5)], "s double, p0 double, p3 double, w1 double")
     assert df.where(~F.expr(rules)).count() == 0
+
+
+def test_diagonal_skeletons_are_chains_of_longest_waves(spark):
+    """Each skeleton's waves 2 to 4 end at the highest price before the first deep pull-back, and no chain to a pivot is missed."""
+    from barwave.operators import wave_setups as ws
+
+    rng = random.Random(5)
+    value, prices = 100.0, []
+    for i in range(90):
+        value += rng.uniform(1, 9) * (1 if i % 2 else -1)
+        prices.append(round(value, 1))
+    pivots = spark.createDataFrame(
+        [("T", "h1", 2 * i, v, i % 2 == 1) for i, v in enumerate(prices)], "symbol string, tf string, bar_index long, value double, is_high boolean"
+    )
+
+    def longest(start, last):
+        sign = 1 if start % 2 == 0 else -1
+        v = [sign * p for p in prices[start : last + 1]]
+        deep = [i for i in range(2, len(v)) if max(v[1:i]) - v[i] > ws.PULLBACK * (max(v[1:i]) - v[0])]
+        usable = v[1 : deep[0] if deep else None]
+        return start + 1 + usable.index(max(usable)) if usable else start
+
+    def chain(one, last):
+        two = longest(one, last)
+        three = longest(two, last) if two < last else last
+        return (one, two, three, last) if three < last and longest(three, last) == last else None
+
+    want = set()
+    for k in range(len(prices)):
+        for last in range(k + 4, min(k + ws.REACH, len(prices) - 1) + 1, 2):
+            one, sign = longest(k, last), 1 if k % 2 == 0 else -1
+            peaks = [i for i in range(min(one - 1, last - 3), k, -1) if sign * prices[i] > max(sign * prices[k], sign * prices[i + 1])]
+            found = [c for c in (chain(o, last) for o in [one, *peaks[: ws.ALTERNATIVES]]) if c]
+            if found:
+                want.add((k % 2 == 0, k, *found[0]))
+    assert len(want) > 20
+    for block in (1024, 16):
+        got = {tuple(r) for r in ws.diagonal_skeletons(pivots, block=block).select("is_up", *[f"s{i}" for i in range(5)]).collect()}
+        assert got == want
