@@ -239,8 +239,10 @@ def close_enough(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             total = batch.column(4).to_numpy()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(differ * (DEN + NUM) <= total * (DEN - NUM)))
 
-    one = sets.select(F.col("sig").alias("a"), F.col("cells").alias("cells_a"), F.col("n").alias("n_a"))
-    two = sets.select(F.col("sig").alias("b"), F.col("cells").alias("cells_b"), F.col("n").alias("n_b"))
+    used = cut(pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct())
+    met = sets.join(broadcast_if_small(used, 200_000), "sig", "left_semi")  # of all sets only those in a pair move
+    one = met.select(F.col("sig").alias("a"), F.col("cells").alias("cells_a"), F.col("n").alias("n_a"))
+    two = met.select(F.col("sig").alias("b"), F.col("cells").alias("cells_b"), F.col("n").alias("n_b"))
     both = pairs.join(one, "a").join(two, "b").filter((F.col("n_a") * DEN >= F.col("n_b") * NUM) & (F.col("n_b") * DEN >= F.col("n_a") * NUM))
     return both.select("a", "b", "cells_a", "cells_b", (F.col("n_a") + F.col("n_b")).alias("total")).mapInArrow(run, "a long, b long")
 
@@ -345,7 +347,7 @@ def linked_rows(docs: DataFrame, small: int = SMALL, levels: int = LEVELS) -> Da
     direct = made.filter("b is not null").select("a", "b")
     large = sized(made.filter("b is null").select("region", F.col("a").alias("sig"), "n_most"))
     tested = pivot_pairs(large, 0).filter("sig <> pivot").select(F.least("sig", "pivot").alias("a"), F.greatest("sig", "pivot").alias("b"))
-    pairs = cut(close_enough(direct.union(tested).distinct(), sets))
+    pairs = cut(close_enough(cut(direct.union(tested).distinct()), sets))
     found = cut(distances(pairs, docs, sets))
     links = found.filter("linked").select("a", "b")
     comps = cut(components(links))
@@ -368,7 +370,7 @@ def linked_rows(docs: DataFrame, small: int = SMALL, levels: int = LEVELS) -> Da
         if not last:
             pivoted = cut(pivot_pairs(later.drop("size"), level + 1))
             wanted = wanted.union(pivoted.filter("sig <> pivot").select(F.least("sig", "pivot"), F.greatest("sig", "pivot")))
-        fresh = close_enough(wanted.distinct().join(known_pairs, ["a", "b"], "left_anti"), sets)
+        fresh = close_enough(cut(wanted.distinct().join(known_pairs, ["a", "b"], "left_anti")), sets)
         measured = cut(distances(cut(fresh), docs, sets))
         found = cut(found.union(measured))
         if not measured.filter("linked").isEmpty():
