@@ -37,15 +37,15 @@ def pieces(chars: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Start, end and text number of the stretches that are walked by themselves.
 
     A stretch ends where a hash of four characters says so, at the end of a text, and after ``LONGEST_PIECE``; an edit moves only
-    the ends near it.
+    the ends near it. The first three characters of a text have no four of their own and end none, so texts before it have no say.
     """
     n = len(chars)
     h = chars * np.uint32(0x9E3779B1)
     for k, factor in ((1, 0x85EBCA77), (2, 0xC2B2AE3D), (3, 0x27D4EB2F)):
         h[k:] += chars[:-k] * np.uint32(factor)
-    last = np.zeros(n, bool)
-    last[mix(h) % np.uint32(PIECE) == 0] = True
     ends_at = np.cumsum(lengths)
+    within = np.arange(n) - np.repeat(ends_at - lengths, lengths)
+    last = (mix(h) % np.uint32(PIECE) == 0) & (within >= 3)
     last[ends_at[lengths > 0] - 1] = True
     end = np.flatnonzero(last) + 1
     start = np.concatenate([[0], end[:-1]])

@@ -191,6 +191,15 @@ def test_edit_fingerprints(odd, none):
     assert edit_fingerprints.likeness(bits[0], bits[1]) > 0.9 > edit_fingerprints.likeness(bits[0], bits[2])
 
 
+def test_edit_fingerprints_of_copies_agree():
+    rng = random.Random(8)
+    copies = ["a short text", "xyz", "some words that are copied " * 30]
+    batch = [t for _ in range(1500) for t in ("".join(chr(rng.randint(33, 9000)) for _ in range(rng.randint(1, 9))), rng.choice(copies))]
+    shown = edit_fingerprints.to_hex(edit_fingerprints.fingerprints(batch))
+    for t in copies:
+        assert {h for x, h in zip(batch, shown, strict=True) if x == t} == set(edit_fingerprints.to_hex(edit_fingerprints.fingerprints([t])))
+
+
 def test_near_fingerprints(odd):
     prints = edit_fingerprints.fingerprint_documents(odd)
     bits = {r["fingerprint"]: np.unpackbits(np.frombuffer(bytes.fromhex(r["fingerprint"]), np.uint8)) for r in prints.collect()}
