@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barwave.llm.common import cut, shuffles
@@ -17,6 +17,7 @@ PIECE = 256  # mean characters between two places where the text itself starts a
 LONGEST_PIECE = 512
 LEAST_STEPS = 1024  # shorter texts are walked again with other randomness
 BANDS, BAND_BITS = 24, 14
+SLICE = 512  # mean fingerprints in a slice of a band's bucket
 SEED = 20_240_601
 
 
@@ -125,18 +126,20 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 def near_fingerprints(prints: DataFrame, least: float = 0.8) -> DataFrame:
     """Pairs of different fingerprints that share a band and are alike: ``a, b, likeness`` (a < b), from ``fingerprint, bands``.
 
-    Equal fingerprints are one row here. Each member of a band's bucket is verified against the bucket's first and against the one
-    before it in order, so a bucket of m gives 2 m checks however large; a chain of likes stays connected.
+    Equal fingerprints are one row here. All pairs of a band's bucket are verified: a bucket is dealt into slices of about
+    ``SLICE`` by a hash of the fingerprint, and each two slices meet in a cell of their own, so no task holds a large bucket.
     """
     each = prints.groupBy("fingerprint").agg(F.first("bands").alias("bands")).select("fingerprint", F.posexplode("bands").alias("band", "key"))
     rows = cut(each)
-    first = rows.groupBy("band", "key").agg(F.min("fingerprint").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    near_first = rows.join(first, ["band", "key"]).select("a", F.col("fingerprint").alias("b"))
-    by_slice = Window.partitionBy("band", "key", F.substring("fingerprint", 1, 2)).orderBy("fingerprint")
-    near_before = rows.select(F.lag("fingerprint").over(by_slice).alias("a"), F.col("fingerprint").alias("b")).filter("a is not null")
-    pairs = near_first.union(near_before).filter("a < b").distinct()
+    sizes = rows.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1").select("band", "key", F.ceil(F.col("n") / SLICE).cast("int").alias("slices"))
+    dealt = rows.join(sizes, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("fingerprint", F.lit(SEED)), F.col("slices")).cast("int"))
+    lower = dealt.select("band", "key", F.col("own").alias("i"), F.explode(F.sequence("own", F.col("slices") - 1)).alias("j"), F.col("fingerprint").alias("x"))
+    upper = dealt.select("band", "key", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), F.col("fingerprint").alias("y"))
+    met = lower.join(upper, ["band", "key", "i", "j"]).filter((F.col("i") < F.col("j")) | (F.col("x") < F.col("y")))
     differ = sum(F.bit_count(F.conv(F.substring("a", i, 8), 16, 10).cast("long").bitwiseXOR(F.conv(F.substring("b", i, 8), 16, 10).cast("long"))) for i in range(1, BITS // 4, 8))
-    return pairs.withColumn("likeness", F.greatest(F.lit(0.0), F.cos(F.lit(np.pi / BITS) * differ))).filter(F.col("likeness") >= least)
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    alike = pairs.withColumn("likeness", F.greatest(F.lit(0.0), F.cos(F.lit(np.pi / BITS) * differ))).filter(F.col("likeness") >= least)
+    return alike.dropDuplicates(["a", "b"])
 
 
 def with_next(docs: DataFrame, buckets: int) -> DataFrame:

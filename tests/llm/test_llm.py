@@ -207,6 +207,19 @@ def test_near_fingerprints(odd):
         assert r["likeness"] == pytest.approx(float(edit_fingerprints.likeness(bits[r["a"]], bits[r["b"]]))) and r["a"] < r["b"]
 
 
+@pytest.mark.parametrize("size", [512, 40])
+def test_near_fingerprints_finds_every_pair_of_a_bucket(spark, monkeypatch, size):
+    monkeypatch.setattr(edit_fingerprints, "SLICE", size)
+    rng = np.random.default_rng(5)
+    bits = rng.integers(0, 2, 256)[None] ^ (rng.random((240, 256)) < 0.11)
+    bits = np.concatenate([bits, rng.integers(0, 2, (60, 256))]).astype(np.uint8)
+    shown, keys = edit_fingerprints.to_hex(bits), edit_fingerprints.bands(bits)
+    prints = spark.createDataFrame([(h, k.tolist()) for h, k in zip(shown, keys, strict=True)], "fingerprint string, bands array<long>")
+    pairs = [(i, j) for i in range(300) for j in range(i) if (keys[i] == keys[j]).any() and edit_fingerprints.likeness(bits[i], bits[j]) >= 0.8]
+    got = [(r["a"], r["b"]) for r in edit_fingerprints.near_fingerprints(prints).collect()]
+    assert len(pairs) > 500 and sorted(got) == sorted(tuple(sorted((shown[i], shown[j]))) for i, j in pairs)
+
+
 def test_brown_lm_base(odd, none):
     got = brown_lm.score(odd, odd).collect()
     counts = Counter()
