@@ -8,14 +8,17 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barwave.llm.common import WORD, cut, let
+from barwave.llm.common import WORD, broadcast_if_small, cut, let
 
 SECRET_NAMES = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|cred)"
 SAMPLE_NAMES = r"(?i)(example|sample|dummy|test|fixture|placeholder|template)"
 ASSIGNED = r"(?i)(pass|pwd|secret|token|key|auth|cred)[\w.\-]*[\"']?[:=]+[\"']?[^\s\"']{6,}"
+NAME = r"(?i)(pass|pwd|secret|token|key|auth|cred)[\w.\-]*[\"']?"
+SIGN = r"^[:=]+>?$"
 MARK = "[SECRET]"
 NEIGHBOUR_BUCKETS = 64
 MOST_TRAINING = 20_000
+WORD_SHARE, LEAST_TEXTS = 1e-4, 3  # a dictionary word is in that share of the distinct texts, and in at least so many
 NUMBERS = ("length", "transitions", "distinct", "digits", "capitals", "bigrams", "coverage", "path_depth", "path_secret", "path_sample", "slashes", "near_secret")
 
 
@@ -24,32 +27,37 @@ def may_hold_secret(text: Column) -> Column:
     return F.coalesce(text.rlike(r"(?i)[0-9]|pass|pwd|secret|token|key|auth|cred"), F.lit(False))
 
 
+def looks(ws: Column, w: Column, i: Column) -> Column:
+    """Is the word ``w`` at place ``i`` of ``ws`` a candidate: by itself, or as what a name and a sign before it assign."""
+    one, two = (F.coalesce(F.get(ws, i - k), F.lit("")) for k in (1, 2))
+    alone = (F.length(w) >= 10) & ((w.rlike(r"[0-9]") & w.rlike(r"[A-Za-z0-9+/_\-.@]{12,}")) | w.rlike(ASSIGNED))
+    given = (one.rlike(SIGN) & two.rlike(NAME + "$")) | one.rlike(NAME + "[:=]+>?$") | (w.rlike(r"^[:=]+>?[\"']?[^:=\"']") & one.rlike(NAME + "$"))
+    return alone | (w.rlike(r"[^\s\"':=]{6,}") & given)
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """Words that may be secrets: ``cid, doc_id, text_key, word_no, value, path, near``.
 
     A candidate word has a digit and twelve joined letters, digits or one of ``+/_-``, or assigns a value to a name such as
-    ``password``. ``value`` is the word without quotes and marks and without the name it is assigned to, ``path`` that name
+    ``password``, or follows such a name and a sign (``password = value``, ``pwd: value``, ``token =value``) with six characters or more. ``value`` is the word without quotes and marks and without the name it is assigned to, ``path`` that name
     (also where a sign stands between), ``near`` the three words before and two after. ``word_no`` counts from 0. Null and
     empty texts have none. Whole texts are read; rows equal in all columns give candidates each.
     """
 
-    def looks(w: Column) -> Column:
-        return (F.length(w) >= 10) & ((w.rlike(r"[0-9]") & w.rlike(r"[A-Za-z0-9+/_\-.@]{12,}")) | w.rlike(ASSIGNED))
-
     def found(ws: Column) -> Column:
         near = lambda i: F.array(*[F.coalesce(F.get(ws, i + k), F.lit("")) for k in (-3, -2, -1, 1, 2)])
-        return F.filter(F.transform(ws, lambda w, i: F.when(looks(w), F.struct(i.alias("word_no"), w.alias("word"), near(i).alias("near")))), lambda x: x.isNotNull())
+        return F.filter(F.transform(ws, lambda w, i: F.when(looks(ws, w, i), F.struct(i.alias("word_no"), w.alias("word"), near(i).alias("near")))), lambda x: x.isNotNull())
 
-    bare = F.regexp_replace("c.word", r"^[\"'`(<\[{]+|[\"'`)>\]},.;:!?#*$%&]+$", "")
+    bare = F.regexp_replace("c.word", r"^[\"'`(<\[{:=>]+|[\"'`)>\]},.;:!?#*$%&]+$", "")
     named = r"^([\w.\-/\[\]]{1,64}?)[\"']?[:=]+[\"']?([^=:].{5,})$"
-    sign = F.element_at("near", 3).rlike(r"^[:=]+>?$")
+    sign = F.element_at("near", 3).rlike(SIGN)
     return cut(
         docs.select("doc_id", "text")
         .filter(may_hold_secret(F.col("text")))
         .withColumn("found", let(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), found))
         .filter(F.size("found") > 0)
         .select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_key"), F.explode("found").alias("c"))
-        .select("doc_id", "text_key", "c.word_no", "c.near", bare.alias("bare"))
+        .select("doc_id", "text_key", "c.word_no", "c.near", bare.alias("bare"), F.col("c.word").rlike("^[:=]").alias("with_sign"))
         .select(
             "doc_id",
             "text_key",
@@ -57,7 +65,7 @@ def candidates(docs: DataFrame) -> DataFrame:
             F.when(F.col("bare").rlike(named), F.regexp_extract("bare", named, 2)).otherwise(F.col("bare")).alias("value"),
             F.when(F.col("bare").rlike(named), F.regexp_extract("bare", named, 1))
             .when(sign, F.element_at("near", 2))
-            .when(F.element_at("near", 3).rlike(r"[:=]$"), F.element_at("near", 3))
+            .when(F.element_at("near", 3).rlike(r"[:=]>?$") | F.col("with_sign"), F.element_at("near", 3))
             .otherwise(F.lit(""))
             .alias("path"),
             F.transform("near", lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}]", "")).alias("near"),
@@ -65,10 +73,20 @@ def candidates(docs: DataFrame) -> DataFrame:
     ).withColumn("cid", F.monotonically_increasing_id())
 
 
-def dictionary(docs: DataFrame, min_count: int = 20) -> DataFrame:
-    """Lower-case words of 3 to 20 letters and their counts in all texts, where at least ``min_count``."""
-    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,20}"), F.lit(0))).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count)
+def dictionary(docs: DataFrame, share: float = WORD_SHARE, least: int = LEAST_TEXTS) -> DataFrame:
+    """Lower-case words of 3 to 20 letters and the number ``n`` of distinct texts that hold them outside candidates.
+
+    Kept where ``n`` is at least ``share`` of all distinct texts, and ``least``. Each of m equal texts counts 1 / m.
+    """
+    keyed = docs.filter(F.col("text").isNotNull()).select("text", F.md5(F.col("text").cast("binary")).alias("h"))
+    equal = cut(keyed.groupBy("h").agg(F.count("*").alias("m")).groupBy(F.when(F.col("m") > 1, F.col("h")).alias("copied")).agg(F.max("m").alias("m"), F.count("*").alias("texts")))
+    distinct = equal.agg(F.sum("texts")).first()[0] or 0
+    copied = equal.filter("copied is not null").select("copied", "m")
+    outside = let(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda ws: F.array_join(F.filter(ws, lambda w, i: ~looks(ws, w, i)), " "))
+    rest = F.lower(F.when(may_hold_secret(F.col("text")), outside).otherwise(F.col("text")))
+    each = keyed.join(broadcast_if_small(copied), F.col("h") == F.col("copied"), "left").select(rest.alias("text"), (1 / F.coalesce("m", F.lit(1))).alias("part"))
+    words = each.select("part", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{L}{3,20}"), F.lit(0)))).alias("word"))
+    return words.groupBy("word").agg(F.round(F.sum("part")).cast("long").alias("n")).filter(F.col("n") >= max(least, share * distinct))
 
 
 def features(found: DataFrame, words: DataFrame) -> DataFrame:
@@ -145,17 +163,24 @@ def fit_forest(labelled: DataFrame, most: int = MOST_TRAINING, trees: int = 24,
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, weightCol="weight", subsamplingRate=0.8).fit(sample)
 
 
+def rule_verdict() -> Column:
+    """Score 1 or 0 without a forest: the label of ``rule_labels``, and where that is null 1 for what a secret's name is given,
+    or random values beside such a name; 0 for samples and all else."""
+    named = (F.col("path_secret") == 1) | ((F.col("near_secret") == 1) & (F.col("digits") > 0) & (F.col("length") >= 12) & (F.col("coverage") < 0.5))
+    return F.coalesce(F.col("label"), (named & (F.col("path_sample") == 0)).cast("double"))
+
+
 def scan(docs: DataFrame, labels=rule_labels, threshold: float = 0.5) -> DataFrame:
     """Findings of ``docs``: ``doc_id, text_key, word_no, value, path, score, held_out, label, is_secret``.
 
     ``labels`` adds the labels the forest learns from (a join with reviewed findings, or ``rule_labels``); findings whose value's crc32
-    modulo 5 is 0 are held out. Where a label is missing the forest can't be fitted: then every candidate stays, with score 1.
+    modulo 5 is 0 are held out. Where a label is missing the forest can't be fitted: then the score is the verdict of ``rule_verdict``.
     """
     found = cut(features(candidates(docs), dictionary(docs)))
     labelled = labels(found).withColumn("held_out", F.crc32(F.col("value").cast("binary")) % 5 == 0)
     forest = fit_forest(labelled.filter(~F.col("held_out")))
     if forest is None:
-        scored = labelled.withColumn("score", F.lit(1.0))
+        scored = labelled.withColumn("score", rule_verdict())
     else:
         scored = forest.transform(vectors(labelled)).withColumn("score", vector_to_array("probability")[1])
     out = scored.select("doc_id", "text_key", "word_no", "value", "path", "score", "held_out", F.col("label").cast("int").alias("label"))

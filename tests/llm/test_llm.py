@@ -172,6 +172,28 @@ def test_secrets(odd, none, texts):
     assert secret_forest.scan(none).count() == 0 and secret_forest.redact(none, secret_forest.scan(none)).count() == 0
 
 
+def test_secrets_after_a_separate_sign(spark):
+    said = {'password = "Tr0ub4dor&3" here': "Tr0ub4dor&3", "the pwd: hunter22 goes": "hunter22", 'set token = "qwertyuiopasdfgh" now': "qwertyuiopasdfgh", "my secret =wxyzabcd too": "wxyzabcd"}
+    docs = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")
+    assert {r["doc_id"]: r["value"] for r in secret_forest.candidates(docs).collect()} == dict(enumerate(said.values()))
+    masked = {r["doc_id"]: r["text"] for r in secret_forest.redact(docs, secret_forest.scan(docs)).collect()}
+    assert all(v not in masked[i] and secret_forest.MARK in masked[i] for i, v in enumerate(said.values()))
+
+
+def test_secrets_leave_clean_tables_alone(spark):
+    clean = ["call +49-170-1234567890 now", "write to jane.doe42@mail.example.com or", "host 192.168.100.200:8080 is up", "order 2024-01-02T10:20:30 sent"]
+    docs = spark.createDataFrame(list(enumerate(clean)), "doc_id long, text string")
+    assert secret_forest.candidates(docs).count() == 4
+    assert sorted(r["text"] for r in secret_forest.redact(docs, secret_forest.scan(docs)).collect()) == sorted(clean)
+
+
+def test_secret_dictionary_counts_texts(spark):
+    rows = ["copied words"] * 50 + [f"common words {'alpha beta'[i % 2 :]}" for i in range(6)] + [f"n {i} password = qwertyuiopasdfgh" for i in range(30)]
+    docs = spark.createDataFrame([(t,) for t in rows], "text string").repartition(4)
+    got = {r["word"]: r["n"] for r in secret_forest.dictionary(docs).collect()}
+    assert got == {"password": 30, "words": 3}  # copies count once, and the value is a candidate however often it stands
+
+
 def test_edit_fingerprints(odd, none):
     got = sorted(edit_fingerprints.edited_likeness(odd).collect(), key=str)
     assert len(got) == odd.count() and edit_fingerprints.edited_likeness(none).count() == 0
