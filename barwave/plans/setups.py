@@ -83,7 +83,7 @@ def q_filters(spark, sf):
 
 
 def registered(bars):
-    return cut(ws.diagonal_filters(cut(skeletons(bars)), bars).where("gate IN ('REGISTERED', 'SPILLS_OUT', 'NOT_CONTAINED')"))
+    return cut(ws.diagonal_filters(cut(skeletons(bars)), bars).where("gate = 'REGISTERED'"))
 
 
 @query("g08_diagonal_wave5")

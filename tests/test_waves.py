@@ -5,7 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from barwave.operators import wave_setups as ws
 from barwave.operators import waves as wv
+from barwave.plans import setups
+from tests.conftest import make_bars, walk
 
 CASES = [
     ("IMPULSE", [100, 110, 103.5, 120, 114, 125], [0, 5, 10, 15, 20, 25], "NONE"),
@@ -98,3 +101,10 @@ def test_diagonal_skeletons_are_chains_of_longest_waves(spark):
     for block in (1024, 16):
         got = {tuple(r) for r in ws.diagonal_skeletons(pivots, block=block).select("is_up", *[f"s{i}" for i in range(5)]).collect()}
         assert got == want
+
+
+def test_only_registered_diagonals_go_on(spark):
+    bars = make_bars(spark, walk(3000, step=4.0)).cache()
+    gates = {r["gate"]: r["count"] for r in ws.diagonal_filters(setups.skeletons(bars).localCheckpoint(), bars).groupBy("gate").count().collect()}
+    assert gates["SPILLS_OUT"] and gates["NOT_CONTAINED"]
+    assert {r["gate"]: r["count"] for r in setups.registered(bars).groupBy("gate").count().collect()} == {"REGISTERED": gates["REGISTERED"]}
