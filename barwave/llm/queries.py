@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwave.llm import adaptive_rules, brown_lm, edit_fingerprints, jaccard_join, language_id, line_crf, packing, secret_forest, source_mix, wavelet_tokens
+from barwave.llm import adaptive_rules, brown_lm, edit_fingerprints, exact_dedup, jaccard_join, language_id, line_crf, packing, secret_forest, source_mix, wavelet_tokens
 from barwave.llm.common import crc_mod, ensure_checkpoint_dir, n_words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,11 @@ def op10_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     crf = line_crf.learn(docs.filter(~F.col("held_out")).join(labels, "doc_id").withColumnRenamed("doc_id", "key"))
     scored = docs.select("doc_id", "held_out", line_crf.text_quality(F.col("text"), crf).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(documents(spark, sf_dir), digest_all=True).drop("n_chars")
+
+
+ORACLES["op11_exact_dedup"] = exact_dedup.ORACLE_SQL
