@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwave.llm import adaptive_rules, brown_lm, edit_fingerprints, exact_dedup, jaccard_join, language_id, line_crf, packing, secret_forest, source_mix, wavelet_tokens
+from barwave.llm import adaptive_rules, brown_lm, conversation_trie, edit_fingerprints, exact_dedup, jaccard_join, language_id, line_crf, packing, secret_forest, source_mix, wavelet_tokens
 from barwave.llm.common import crc_mod, ensure_checkpoint_dir, n_words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,11 @@ def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_exact_dedup"] = exact_dedup.ORACLE_SQL
+
+
+@query
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.rebuilt_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+ORACLES["op12_conversation_trie"] = conversation_trie.ORACLE_SQL
