@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barwave.llm import adaptive_rules, brown_lm, conversation_trie, edit_fingerprints, exact_dedup, jaccard_join, language_id, line_crf, packing, secret_forest, source_mix, wavelet_tokens
+from barwave.llm import adaptive_rules, brown_lm, conversation_trie, edit_fingerprints, exact_dedup, jaccard_join, language_id, line_crf, packing, rtree_negatives, secret_forest, source_mix, wavelet_tokens
 from barwave.llm.common import crc_mod, ensure_checkpoint_dir, n_words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,12 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_conversation_trie"] = conversation_trie.ORACLE_SQL
+
+
+@query
+def op13_rtree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = rtree_negatives.relabelled(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return rtree_negatives.hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op13_rtree_negatives"] = rtree_negatives.ORACLE_SQL
