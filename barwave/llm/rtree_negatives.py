@@ -126,7 +126,13 @@ class Want:
         """Not below the kth of an earlier visit, and above the kth of this one."""
         return (self.floor is None or (score, -vec_id) >= self.floor) and (self.bar is None or (score, -vec_id) > self.bar)
 
+    def lowest(self) -> float:
+        """The least score that may still count."""
+        return max(self.low, -math.inf if self.floor is None else self.floor[0], -math.inf if self.bar is None else self.bar[0])
+
     def offer(self, score: int, vec_id: int) -> None:
+        if not (self.low <= score <= self.high and self.takes(score, vec_id)):
+            return
         heapq.heappush(self.best, (score, -vec_id))
         if len(self.best) > self.k:
             heapq.heappop(self.best)
@@ -134,34 +140,45 @@ class Want:
             self.bar = self.best[0]
 
 
-def best_first(tree: Tree, i: int, q: np.ndarray, label: int, row: int, same_label: bool, wants: list[Want], bounds: list[tuple[np.ndarray, np.ndarray]]) -> None:
-    """Boxes in the order of their greatest score; those that no want needs are left out, also once they are reached."""
-    parts = (tree.nodes, tree.leaves)
+class Scores:
+    """Scores of all anchors held and the rows of a node, worked out when the first anchor opens the node."""
+
+    def __init__(self, tree: Tree, q: np.ndarray):
+        self.tree, self.q, self.known = tree, q, {}
+
+    def of(self, i: int, node: int) -> np.ndarray:
+        if node not in self.known:
+            self.known[node] = dots(self.q, self.tree.v[node * LEAF * FAN : (node + 1) * LEAF * FAN])
+        return self.known[node][i]
+
+
+def best_first(tree: Tree, i: int, label: int, row: int, same_label: bool, wants: list[Want], bounds: list[tuple[np.ndarray, np.ndarray]], scores: Scores) -> None:
+    """Nodes in the order of their greatest score; nodes and leaves that no want needs are left out, also once they are reached."""
 
-    def open_(level: int, at: int) -> bool:
-        _, _, low, high, least = parts[level]
-        if not (low[at] <= label <= high[at] if same_label else not low[at] == high[at] == label):
-            return False
-        return any(w.needs(int(bounds[level][0][i, at]), int(bounds[level][1][i, at]), int(least[at])) for w in wants)
+    def right(level: tuple) -> np.ndarray:
+        return (level[2] <= label) & (label <= level[3]) if same_label else ~((level[2] == label) & (level[3] == label))
 
-    queue = [(-int(bounds[0][1][i, at]), 0, at) for at in range(len(tree.nodes[2])) if open_(0, at)]
+    least, most, first_ids = bounds[0][0][i].tolist(), bounds[0][1][i].tolist(), tree.nodes[4].tolist()
+    leaf_least, leaf_most, leaf_right = bounds[1][0][i], bounds[1][1][i], right(tree.leaves)
+    queue = [(-most[at], at) for at in np.nonzero(right(tree.nodes))[0].tolist()]
     heapq.heapify(queue)
     while queue:
-        _, level, at = heapq.heappop(queue)
-        if not open_(level, at):
+        _, at = heapq.heappop(queue)
+        needy = [w for w in wants if w.needs(least[at], most[at], first_ids[at])]
+        if not needy:
             continue
-        if level == 0:
-            for leaf in range(at * FAN, min((at + 1) * FAN, len(tree.starts))):
-                if open_(1, leaf):
-                    heapq.heappush(queue, (-int(bounds[1][1][i, leaf]), 1, leaf))
+        low, high = min(w.lowest() for w in needy), max(w.high for w in needy)
+        leaves = slice(at * FAN, (at + 1) * FAN)
+        open_ = leaf_right[leaves] & (leaf_least[leaves] <= high) & (leaf_most[leaves] >= low)
+        if not open_.any():
             continue
-        part = slice(at * LEAF, (at + 1) * LEAF)
-        fits = ((tree.labels[part] == label) == same_label) & (tree.rows[part] != row)
-        scores = tree.v[part] @ q
-        for w in wants:
-            for j in np.nonzero(fits & (scores >= w.low) & (scores <= w.high))[0].tolist():
-                if w.takes(scores[j], tree.ids[part][j]):
-                    w.offer(int(scores[j]), int(tree.ids[part][j]))
+        part = slice(at * FAN * LEAF, (at + 1) * FAN * LEAF)
+        got = scores.of(i, at)
+        fits = np.repeat(open_, LEAF)[: len(got)] & (got >= low) & (got <= high) & ((tree.labels[part] == label) == same_label)
+        for j in np.nonzero(fits)[0].tolist():
+            if tree.rows[part][j] != row:
+                for w in needy:
+                    w.offer(int(got[j]), int(tree.ids[part][j]))
 
 
 def visitor(same_label: bool):
@@ -173,14 +190,14 @@ def visitor(same_label: bool):
                 tree = Tree(*(r[c] for c in ("dims", "ids", "labels", "rows", "kind", "vectors")))
                 labels, rows = (np.frombuffer(r[c], np.int64) for c in ("q_labels", "q_rows"))
                 q = np.frombuffer(r["q_vectors"], r["q_kind"]).reshape(len(rows), r["dims"]).astype(np.int64)
-                dots(q, tree.v[:1] * 0 + np.abs(tree.v).max(initial=0))  # raises where a score may not fit
                 bounds = [intervals(q, level[0], level[1]) for level in (tree.nodes, tree.leaves)]
+                scores = Scores(tree, q)
                 wants: dict[int, list[Want]] = {}
                 for w in r["wants"]:
                     wants.setdefault(w["i"], []).append(Want(w))
                 out: list[tuple] = []
                 for i, mine in wants.items():
-                    best_first(tree, i, q[i], int(labels[i]), int(rows[i]), same_label, mine, bounds)
+                    best_first(tree, i, int(labels[i]), int(rows[i]), same_label, mine, bounds, scores)
                     out += [(int(rows[i]), w.want, w.k, score, -vec_id) for w in mine for score, vec_id in w.best]
                 columns = list(zip(*out, strict=True)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["anchor_row", "want", "k", "score", "vec_id"])

@@ -68,10 +68,11 @@ def test_boxes_leave_out_what_cannot_count():
     want = Counting({"want": 0, "k": 5, "lo": None, "hi": None, "kth": None, "kth_id": None})
     q = v[:1]
     bounds = [rtree_negatives.intervals(q, level[0], level[1]) for level in (tree.nodes, tree.leaves)]
-    rtree_negatives.best_first(tree, 0, q[0], 0, 0, True, [want], bounds)
+    held = rtree_negatives.Scores(tree, q)
+    rtree_negatives.best_first(tree, 0, 0, 0, True, [want], bounds, held)
     scores = v @ q[0]
     expected = sorted((-scores[i], i) for i in range(1, len(v)))[:5]
-    assert sorted((-s, -i) for s, i in want.best) == expected and len(read) < len(v) / 8
+    assert sorted((-s, -i) for s, i in want.best) == expected and len(read) < len(v) / 8 and len(held.known) < len(tree.nodes[2]) / 4
 
 
 def test_scores_that_do_not_fit_a_long():
