@@ -269,9 +269,13 @@ def death_funnel(candidates: DataFrame) -> DataFrame:
     return candidates.groupBy(*KEY, "model", F.coalesce("reason", F.lit("NONE")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-def beam_topk(cands: DataFrame, by: list[str], width: int = 20, per_model: int = 3) -> DataFrame:
-    """At least ``per_model`` of each model, the rest of ``width`` by score; ties by model, start, end."""
-    order = [F.col("score").desc(), "model_rank", "start_seq", "end_seq"]
+BEAM_WIDTH, PER_MODEL = 20, 3
+READING = 1000  # a reading's code: rank of the model times this, plus its rank among the model's readings
+
+
+def beam_topk(cands: DataFrame, by: list[str], width: int = BEAM_WIDTH, per_model: int = PER_MODEL, by_score: tuple[str, ...] = ()) -> DataFrame:
+    """At least ``per_model`` of each model, the rest of ``width`` by score; ties by model, start, end. ``by_score`` names other sort columns."""
+    order = list(by_score) or [F.col("score").desc(), "model_rank", "start_seq", "end_seq"]
     ranked = cands.withColumn("_m", F.row_number().over(Window.partitionBy(*by, "model").orderBy(*order)))
     ranked = ranked.withColumn("_first", F.col("_m") <= per_model)
     kept = F.sum(F.col("_first").cast("int")).over(Window.partitionBy(*by))
@@ -280,13 +284,16 @@ def beam_topk(cands: DataFrame, by: list[str], width: int = 20, per_model: int =
     return ranked.withColumn("_r", rest).where(F.col("_first") | (F.col("_r") <= width - F.col("_kept"))).drop("_m", "_first", "_kept", "_r")
 
 
+# fixed values: models in the order that decides ties
+MODEL_ORDER = (
+    "IMPULSE", "DIAGONAL_CONTRACTING_INITIAL", "DIAGONAL_CONTRACTING_ENDING", "DIAGONAL_EXPANDING_INITIAL", "DIAGONAL_EXPANDING_ENDING",
+    "TRIANGLE_CONTRACTING", "TRIANGLE_EXPANDING", "TRIANGLE_RUNNING", "ZIGZAG", "DOUBLE_ZIGZAG", "TRIPLE_ZIGZAG", "FLAT_REGULAR",
+    "FLAT_EXTENDED", "FLAT_RUNNING", "COMBINATION", "SIMPLE_IMPULSE",
+)
+
+
 def model_rank() -> Column:
-    order = (
-        "IMPULSE", "DIAGONAL_CONTRACTING_INITIAL", "DIAGONAL_CONTRACTING_ENDING", "DIAGONAL_EXPANDING_INITIAL", "DIAGONAL_EXPANDING_ENDING",
-        "TRIANGLE_CONTRACTING", "TRIANGLE_EXPANDING", "TRIANGLE_RUNNING", "ZIGZAG", "DOUBLE_ZIGZAG", "TRIPLE_ZIGZAG", "FLAT_REGULAR",
-        "FLAT_EXTENDED", "FLAT_RUNNING", "COMBINATION", "SIMPLE_IMPULSE",
-    )
-    return F.array_position(F.array(*[F.lit(m) for m in order]), F.col("model")).cast("int")
+    return F.array_position(F.array(*[F.lit(m) for m in MODEL_ORDER]), F.col("model")).cast("int")
 
 
 def flat_wave_c(pivots: DataFrame) -> DataFrame:
@@ -367,66 +374,128 @@ def position_table(spark) -> DataFrame:
     return spark.createDataFrame(rows, "model string, pos int, child string, prob double")
 
 
-def nested_candidates(pivots: DataFrame, cands: DataFrame, max_span: int = MAX_SPAN) -> DataFrame:
-    """Best score of every model on every span, each wave filled by its best allowed sub-model.
+def _slots(spark) -> tuple[DataFrame, DataFrame, int]:
+    """(model, pos, kind, probs): waves that take the same sub-models share a kind; (kind, child); the number of kinds. Fixed, about 50 and 60 rows."""
+    kinds: dict[tuple[str, ...], int] = {}
+    slots = []
+    rank = {m: i for i, m in enumerate(MODEL_ORDER, 1)}
+    for parent, waves in GRAMMAR.items():
+        for i, (key, subs) in enumerate(waves.items(), 1):
+            children = (*sorted(subs), "SIMPLE_IMPULSE")
+            kind = kinds.setdefault(children, len(kinds))
+            slots.append((parent, i, kind, {rank[c]: POSITION_PROBABILITY.get((parent, key, c), COEFFICIENT[c]) for c in children}))
+    pairs = [(kind, c) for children, kind in kinds.items() for c in children]
+    return spark.createDataFrame(slots, "model string, pos int, kind int, probs map<int,double>"), spark.createDataFrame(pairs, "kind int, child string"), len(kinds)
 
-    One pass per span length, shortest first: the waves of a span are shorter than it, so a pass is
-    an equi-join with the options found so far.  Every pass is materialised.
-    """
-    spark = pivots.sparkSession
-    grammar = F.broadcast(position_table(spark))  # fixed, about 150 rows
-    legs = with_pivot_seq(pivots).select(*KEY, F.col("seq").alias("start_seq"), (F.col("seq") + 1).alias("end_seq"), "bar_index")
-    last = legs.groupBy(*KEY).agg(F.max("start_seq").alias("_last"))
-    simple = legs.join(last, list(KEY)).where(F.col("start_seq") < F.col("_last")).select(
-        *KEY, "start_seq", "end_seq", F.lit("SIMPLE_IMPULSE").alias("child"), F.lit(1.0).alias("child_score"), F.lit(None).cast("long").alias("b_bars")
-    )
 
-    def options(best: DataFrame) -> DataFrame:
-        o = best.join(grammar, "child").withColumn("opt", F.col("child_score") * F.col("prob"))
-        pick = F.max_by(F.struct("child", "b_bars", "opt"), F.struct("opt", "child"))
-        return o.groupBy(*KEY, "start_seq", "end_seq", "model", "pos").agg(pick.alias("_o")).select(
-            *KEY, F.col("start_seq").alias("from_seq"), F.col("end_seq").alias("to_seq"), "model", "pos", "_o.*"
-        )
+def relative_order(score: Column) -> Column:
+    """Sort key, best first: scores that differ by less than a billionth part are tied."""
+    return -F.round(F.ln(score), 9)
+
+
+def nested_candidates(pivots: DataFrame, cands: DataFrame, max_span: int = MAX_SPAN, width: int = BEAM_WIDTH, per_model: int = PER_MODEL) -> DataFrame:
+    """The best ``width`` ways to read every span as every model, each wave filled by any of the ranked ways to read it.
 
-    opts = cut(options(simple))
-    cands = cands.withColumn("span", F.col("end_seq") - F.col("start_seq")).withColumn("cand", F.concat_ws("-", F.col("ends").cast("array<string>")))
+    A wave is offered the beam (``beam_topk``) of all its sub-models over its legs; the score of a reading is its structural
+    score times score x position probability of each wave's reading. Every rule that a sub-model decides looks at one wave: the wave x of a
+    double zigzag lasts at least 0.9 of the b inside a zigzag w. So such options go before waves are merged, and keeping ``width`` products after
+    each wave loses none of the best. Scores within a billionth part are ties, ordered by where waves end and then by sub-model and rank.
+
+    One pass per span length, shortest first: waves are shorter than their span, so a pass is one equi-join with the options
+    found so far, one aggregate per split (three or five rows) and one ranking per span; every pass is written.
+    """
+    spark = pivots.sparkSession
+    slots, takes, kinds = _slots(spark)
+    slots, takes = F.broadcast(slots), F.broadcast(takes)
+    legs = with_pivot_seq(pivots).select(*KEY, F.col("seq").alias("from_seq"), (F.col("seq") + 1).alias("to_seq"))
+    last = legs.groupBy(*KEY).agg(F.max("from_seq").alias("_last"))
+    leaf = F.array(F.struct(F.lit(READING * len(MODEL_ORDER) + 1).cast("int").alias("code"), F.lit(1.0).alias("score"), F.lit(None).cast("long").alias("b_bars")))
+    single = legs.join(last, list(KEY)).where(F.col("from_seq") < F.col("_last")).drop("_last")
+    options = cut(single.withColumns({"kind": F.explode(F.sequence(F.lit(0), F.lit(kinds - 1))), "options": leaf}))
+
+    splits = cands.withColumn("span", F.col("end_seq") - F.col("start_seq"))
     found = None
     for span in range(3, max_span + 1, 2):
-        here = cands.where(F.col("span") == span)
-        waves = here.select(
-            *KEY, "model", "cand",
-            F.posexplode(F.arrays_zip(F.slice("ends", F.lit(1), F.size("ends") - 1).alias("f"), F.slice("ends", F.lit(2), F.size("ends") - 1).alias("t"))).alias("_i", "_w"),
-        ).select(*KEY, "model", "cand", (F.col("_i") + 1).alias("pos"), F.col("_w.f").alias("from_seq"), F.col("_w.t").alias("to_seq"))
-        filled = waves.join(opts, [*KEY, "model", "pos", "from_seq", "to_seq"]).groupBy(*KEY, "model", "cand").agg(
-            F.count("*").alias("_n"), F.exp(F.sum(F.log("opt"))).alias("_prod"),
-            F.max(F.when((F.col("pos") == 1) & (F.col("child") == "ZIGZAG"), F.col("b_bars"))).alias("_wb"),
-            F.sort_array(F.collect_list(F.struct("pos", "child"))).alias("children"),  # three or five
+        here = splits.where(F.col("span") == span).drop("span")
+        x_bars = F.when(F.col("model") == "DOUBLE_ZIGZAG", F.element_at("bars", 3) - F.element_at("bars", 2))
+        waves = here.select(*KEY, "model", "ends", x_bars.alias("x_bars"), F.posexplode(F.slice("ends", F.lit(1), F.size("ends") - 1)).alias("_i", "from_seq"))
+        waves = waves.withColumns({"pos": F.col("_i") + 1, "to_seq": F.element_at("ends", F.col("_i") + 2)}).join(slots, ["model", "pos"])
+        filled = waves.join(options, [*KEY, "kind", "from_seq", "to_seq"])
+        lasts = lambda o: F.col("x_bars").isNull() | (F.col("pos") != 1) | o["b_bars"].isNull() | (F.col("x_bars") >= 0.9 * o["b_bars"])
+        offered = F.transform(
+            F.filter("options", lasts), lambda o: F.struct(o["code"].alias("code"), (o["score"] * F.element_at(F.col("probs"), (o["code"] / READING).cast("int"))).alias("score"))
         )
-        full = here.join(filled, [*KEY, "model", "cand"]).where(F.col("_n") == F.size("ends") - 1)
-        # a double zigzag's x lasts at least 90 % of the b inside its w
-        x_bars = F.element_at("bars", 3) - F.element_at("bars", 2)
-        full = full.where((F.col("model") != "DOUBLE_ZIGZAG") | F.col("_wb").isNull() | (x_bars >= 0.9 * F.col("_wb")))
-        full = full.withColumn("score", F.col("structural") * F.col("_prod"))
-        best = full.groupBy(*KEY, "model", "start_seq", "end_seq").agg(
-            F.max_by(F.struct("score", "ends", "bars", "points", "children"), F.struct(F.round("score", 12), "cand")).alias("_b")
-        ).select(*KEY, "model", "start_seq", "end_seq", "_b.*")
-        best = cut(best)
-        found = best if found is None else found.unionByName(best)
-        kids = best.select(
-            *KEY, "start_seq", "end_seq", F.col("model").alias("child"), F.col("score").alias("child_score"),
-            F.when(F.col("model") == "ZIGZAG", F.element_at("bars", 3) - F.element_at("bars", 2)).alias("b_bars"),
+        filled = filled.groupBy(*KEY, "model", "ends").agg(F.sort_array(F.collect_list(F.struct("pos", offered.alias("offered")))).alias("waves"))  # three or five
+        full = here.join(filled, [*KEY, "model", "ends"]).where(F.size("waves") == F.size("ends") - 1)
+        start = F.array(F.struct(F.lit(0.0).alias("order"), F.array().cast("array<int>").alias("path"), F.col("structural").alias("score")))
+
+        def longer(held: Column, wave: Column) -> Column:
+            def with_(a: Column, o: Column) -> Column:
+                return F.struct(relative_order(a["score"] * o["score"]).alias("order"), F.concat(a["path"], F.array(o["code"])).alias("path"), (a["score"] * o["score"]).alias("score"))
+
+            each = F.flatten(F.transform(held, lambda a: F.transform(wave["offered"], lambda o: with_(a, o))))
+            return F.slice(F.array_sort(each), 1, width)
+
+        ways = full.withColumn("way", F.explode(F.aggregate("waves", start, longer)))
+        ways = ways.withColumn("ends_text", F.concat_ws("-", F.col("ends").cast("array<string>")))
+        best = Window.partitionBy(*KEY, "model", "start_seq", "end_seq").orderBy("way.order", "ends_text", "way.path")
+        ranked = ways.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= width)
+        named = F.array(*[F.lit(m) for m in MODEL_ORDER])
+        children = F.transform(
+            "way.path", lambda c, i: F.struct((i + 1).cast("int").alias("pos"), F.element_at(named, (c / READING).cast("int")).alias("child"), (c % READING).alias("child_rank"))
         )
-        opts = cut(opts.unionByName(options(kids)))
+        ranked = cut(ranked.select(*KEY, "model", "start_seq", "end_seq", "rank", F.col("way.score").alias("score"), "ends", "bars", "points", children.alias("children")))
+        found = ranked if found is None else found.unionByName(ranked)
+        if span + 2 <= max_span:
+            b_bars = F.when(F.col("model") == "ZIGZAG", F.element_at("bars", 3) - F.element_at("bars", 2))
+            offers = ranked.join(takes, ranked["model"] == takes["child"]).select(*KEY, "kind", "start_seq", "end_seq", "model", "rank", "score", b_bars.alias("b_bars"), model_rank().alias("model_rank"))
+            kept = beam_topk(offers.withColumn("order", relative_order(F.col("score"))), [*KEY, "kind", "start_seq", "end_seq"], width, per_model, by_score=("order", "model_rank", "rank"))
+            code = (F.col("model_rank") * READING + F.col("rank")).cast("int")
+            kept = kept.groupBy(*KEY, "kind", F.col("start_seq").alias("from_seq"), F.col("end_seq").alias("to_seq"))
+            options = cut(options.unionByName(kept.agg(F.sort_array(F.collect_list(F.struct(code.alias("code"), "score", "b_bars"))).alias("options"))))
     return found
 
 
+def reading_tree(nested: DataFrame, roots: DataFrame) -> DataFrame:
+    """All nodes of the readings in ``roots`` (rows of ``nested``): ``root_start, root_end, root_model, path, depth, model, start_seq, end_seq, score``.
+
+    ``path`` holds the wave positions from the root. One equi-join per level; a span of n legs has (n - 1) / 2 levels below it at most.
+    """
+    level = roots.select(
+        *KEY, F.col("start_seq").alias("root_start"), F.col("end_seq").alias("root_end"), F.col("model").alias("root_model"),
+        F.array().cast("array<int>").alias("path"), "model", "rank", "start_seq", "end_seq",
+    )
+    out, known = None, nested.select(*KEY, "model", "rank", "start_seq", "end_seq", "score", "ends", "children")
+    while True:
+        full = level.join(known, [*KEY, "model", "rank", "start_seq", "end_seq"], "left")
+        full = cut(full.withColumn("score", F.coalesce("score", F.lit(1.0))))
+        nodes = full.select(*KEY, "root_start", "root_end", "root_model", "path", F.size("path").alias("depth"), "model", "start_seq", "end_seq", "score")
+        out = nodes if out is None else out.unionByName(nodes)
+        below = full.where(F.col("children").isNotNull())
+        if below.isEmpty():
+            return out
+        level = below.select(*KEY, "root_start", "root_end", "root_model", "path", "ends", F.explode("children").alias("c")).select(
+            *KEY, "root_start", "root_end", "root_model", F.concat("path", F.array("c.pos")).alias("path"), F.col("c.child").alias("model"), F.col("c.child_rank").alias("rank"),
+            F.element_at("ends", F.col("c.pos")).alias("start_seq"), F.element_at("ends", F.col("c.pos") + 1).alias("end_seq"),
+        )
+
+
+def markup_roots(nested: DataFrame, width: int = BEAM_WIDTH, per_model: int = PER_MODEL) -> DataFrame:
+    """Per range the beam of all readings as a start model, score times the model's coefficient; ``place`` from 1."""
+    coef = model_case(lambda m: repr(COEFFICIENT[m]) + "D", START_MODELS)
+    roots = nested.where(F.col("model").isin(*START_MODELS)).withColumns({"score": F.col("score") * coef, "model_rank": model_rank()})
+    roots = roots.withColumn("order", relative_order(F.col("score")))
+    kept = beam_topk(roots, [*KEY, "start_seq", "end_seq"], width, per_model, by_score=("order", "model_rank", "rank"))
+    place = F.row_number().over(Window.partitionBy(*KEY, "start_seq", "end_seq").orderBy("order", "model_rank", "rank"))
+    return kept.withColumn("place", place).drop("order", "model_rank")
+
+
 def markup_ranges(nested: DataFrame) -> DataFrame:
     """Best root per range among the start models, score times the model's coefficient."""
     coef = model_case(lambda m: repr(COEFFICIENT[m]) + "D", START_MODELS)
-    roots = nested.where(F.col("model").isin(*START_MODELS)).withColumn("score", F.col("score") * coef)
-    return roots.groupBy(*KEY, "start_seq", "end_seq").agg(F.max_by(F.struct("model", "score"), F.struct(F.round("score", 12), -model_rank())).alias("_b")).select(
-        *KEY, "start_seq", "end_seq", "_b.*"
-    )
+    roots = nested.where((F.col("rank") == 1) & F.col("model").isin(*START_MODELS)).withColumn("score", F.col("score") * coef)
+    best = F.min_by(F.struct("model", "score"), F.struct(relative_order(F.col("score")), model_rank()))
+    return roots.groupBy(*KEY, "start_seq", "end_seq").agg(best.alias("_b")).select(*KEY, "start_seq", "end_seq", "_b.*")
 
 
 def _tile_fold() -> Fold:
@@ -463,7 +532,7 @@ def coverage(tiles: DataFrame) -> DataFrame:
 
 def position_calibration(nested: DataFrame) -> DataFrame:
     """Parent-child edge counts of the best candidates, as shares per (parent, position) and share x slot budget."""
-    e = nested.select("model", F.explode("children").alias("_c")).select(F.col("model").alias("parent"), "_c.pos", "_c.child")
+    e = nested.where("rank = 1").select("model", F.explode("children").alias("_c")).select(F.col("model").alias("parent"), "_c.pos", "_c.child")
     n = e.groupBy("parent", "pos", "child").agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy("parent", "pos"))
     slots = F.create_map(*[x for (m, g) in GRAMMAR.items() for i, (_, kids) in enumerate(g.items(), 1) for x in (F.lit(f"{m}|{i}"), F.lit(float(sum(COEFFICIENT[c] for c in kids) + COEFFICIENT["SIMPLE_IMPULSE"])))])

@@ -15,7 +15,6 @@ from barwave.session import cut
 from barwave.sources.ticks import bar_table, walk_bars
 
 DEV = 0.5
-SPAN = 9
 
 
 def cand_sql(n: int) -> str:
@@ -223,65 +222,6 @@ def q_flat(spark, sf):
     return f.withColumns({c: F.round(c, 6) for c in ("b_to_a", "c_to_a")})
 
 
-@query("e16_wave_candidates")
-def q_candidates(spark, sf):
-    c = wv.wave_candidates(pv.zigzag_pct(bar_table(spark, sf), DEV))
-    return c.select("symbol", "tf", "model", "start_seq", "end_seq", F.concat_ws("-", F.col("ends").cast("array<string>")).alias("split"), F.round("structural", 6).alias("structural"))
-
-
-@query(
-    "e16_three_wave_candidates",
-    with_bars(
-        zigzag_sql()
-        + f""", pn AS (SELECT symbol, tf, row_number() OVER (PARTITION BY symbol ORDER BY bar_index, is_high DESC) - 1 AS q, value AS v, bar_index AS b FROM zz),
-        c3 AS (SELECT a.symbol, a.tf, a.q AS q0, b.q AS q1, c.q AS q2, d.q AS q3, a.v AS p0, b.v AS p1, c.v AS p2, d.v AS p3, a.b AS b0, b.b AS b1, c.b AS b2, d.b AS b3
-          FROM pn a JOIN pn b ON b.symbol = a.symbol AND b.q > a.q AND (b.q - a.q) % 2 = 1 AND b.q - a.q <= {SPAN}
-          JOIN pn c ON c.symbol = a.symbol AND c.q > b.q AND (c.q - b.q) % 2 = 1 AND c.q - a.q <= {SPAN}
-          JOIN pn d ON d.symbol = a.symbol AND d.q > c.q AND (d.q - c.q) % 2 = 1 AND d.q - a.q <= {SPAN}),
-        w3 AS (SELECT *, abs(p1 - p0) AS w1, abs(p2 - p1) AS w2, abs(p3 - p2) AS w3, CASE WHEN p1 > p0 THEN 1.0 ELSE -1.0 END::DOUBLE AS s FROM c3),
-        m3 AS (SELECT *, CASE model {' '.join(f"WHEN '{m}' THEN {wv.reason_text(m)}" for m in wv.THREE)} END AS reason FROM w3, (SELECT unnest({list(wv.THREE)}) AS model)),
-        k3 AS (SELECT m.*, max(CASE WHEN s > 0 THEN x.v ELSE -x.v END) AS ext FROM m3 m JOIN pn x ON x.symbol = m.symbol AND x.q BETWEEN m.q1 AND m.q2 WHERE reason IS NULL GROUP BY ALL)
-        SELECT symbol, tf, model, q0 AS start_seq, q3 AS end_seq, concat_ws('-', q0, q1, q2, q3) AS split FROM k3 WHERE model NOT IN ('ZIGZAG', 'DOUBLE_ZIGZAG') OR s * p3 >= ext""",
-        recursive=True,
-    ),
-)
-def q_candidates3(spark, sf):
-    c = wv.wave_candidates(pv.zigzag_pct(bar_table(spark, sf), DEV), SPAN).where(F.col("model").isin(*wv.THREE))
-    return c.select("symbol", "tf", "model", "start_seq", "end_seq", F.concat_ws("-", F.col("ends").cast("array<string>")).alias("split"))
-
-
-def nested(spark, sf):
-    piv = cut(pv.zigzag_pct(bar_table(spark, sf), DEV))
-    return piv, wv.nested_candidates(piv, cut(wv.wave_candidates(piv)))
-
-
-@query("e09_e18_nested_candidates")
-def q_nested(spark, sf):
-    return nested(spark, sf)[1].select("symbol", "tf", "model", "start_seq", "end_seq", F.round("score", 8).alias("score"))
-
-
-@query("e19_markup_ranges")
-def q_ranges(spark, sf):
-    return wv.markup_ranges(nested(spark, sf)[1]).withColumn("score", F.round("score", 8))
-
-
-@query("e20_tile_series")
-def q_tiles(spark, sf):
-    piv, n = nested(spark, sf)
-    return wv.tile_series(wv.markup_ranges(n), piv).withColumn("score", F.round("score", 8))
-
-
-@query("r16_position_calibration")
-def q_calibration(spark, sf):
-    return wv.position_calibration(nested(spark, sf)[1]).withColumns({c: F.round(c, 6) for c in ("share", "probability")})
-
-
-@query("e33_bonuses_v1")
-def q_bonuses(spark, sf):
-    b = wv.bonuses_v1(nested(spark, sf)[1])
-    return b.select("symbol", "tf", "model", "start_seq", "end_seq", F.round("coverage_bonus", 6).alias("coverage_bonus"), "triangle_bonus", F.round("score", 8).alias("score"))
-
-
 @query("e21_partial_candidates")
 def q_partial(spark, sf):
     return wv.partial_candidates(pv.zigzag_pct(bar_table(spark, sf), DEV)).select("symbol", "tf", "model", "seq", "confirmed", "waves", F.round("score", 6).alias("score"))
