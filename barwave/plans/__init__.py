@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-FAMILIES = ("sources", "prices", "windows", "zigzags", "candles", "outcomes", "movements", "harmonics", "gartleys", "waves", "readings", "texts", "streams", "setups", "frames")
+FAMILIES = ("sources", "prices", "windows", "zigzags", "candles", "outcomes", "movements", "harmonics", "gartleys", "waves", "readings", "texts", "streams", "setups", "triangles", "frames")
 
 
 def load() -> None:

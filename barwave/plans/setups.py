@@ -49,12 +49,6 @@ def q_levels(spark, sf):
     return r4(ws.impulse_levels(e, 1.6, 2).select("symbol", "tf", "seq", "entry", "tp", "sl"), "entry", "tp", "sl")
 
 
-@query("g03_triangle_setups")
-def q_triangle(spark, sf):
-    bars = bar_table(spark, sf)
-    return r4(ws.triangle_setups(pv.zigzag_bps(bars, 20), bars).select(*SIG, "entry", "tp", "sl"), "tp", "sl")
-
-
 @query("g04_running_triangle_setups")
 def q_running(spark, sf):
     bars = bar_table(spark, sf)
