@@ -6,6 +6,7 @@ and sees only that many bars ahead.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -117,74 +118,71 @@ def gartley_xa_pairs(pivots: DataFrame, period: int = PERIOD, depth: int = DEPTH
 # ---- projections --------------------------------------------------------------------------------
 
 
-def _bands(ratios, origin: float, base: float, direction: float) -> list[tuple[float, float, float]]:
-    out = []
-    for r in ratios:
-        ends = [origin + direction * base * r * (1 + s * ALLOWANCE) for s in (-1, 1)]
-        out.append((r, min(ends), max(ends)))
-    return out
-
+class Lanes:
+    """Projections of one model, one lane per X-A pair; every bar offset is one step over all lanes at once.
 
-def _project(model: str, x: float, a: float, a_bar: int, bars, fits):
-    """Walk one projection over bars (i, up price, down price), prices mirrored so that A is above X.
-
-    ``bear`` quirk: a falling figure is abandoned while it has no B and a bar's upper price is under A.
-    Returns (b, c, d, ratios) with point = (value, bar), or None.
+    Prices are mirrored so that A lies above X: ``up`` and ``down`` are the far and the near side of a bar. Unset points are NaN. B is the
+    lowest price so far while that lies in an XB band and no C is set; C is the highest price in an AC band over a B that still is the lowest; D is in
+    the zone where the XD and BD bands meet. XD and BD have one ratio each, so a lane has one zone.
     """
-    xb_r, xd_r, bd_r, ac_r, basis = MODELS[model]
-    length = a - x
-    xb, xd = _bands(xb_r, a, length, -1), _bands(xd_r, a, length, -1)
-    ac = _bands(ac_r, x, length, 1) if basis == "CD" else []
-    deep = b = c = d = None
-    combos, cancel, r_b, r_c = [], None, 0.0, 0.0
-    lowest, lowest_at = float("inf"), a_bar
-    for i, up, dn, bear_stop in bars:
-        if dn < lowest:
-            lowest, lowest_at = dn, i
-        if cancel is not None and dn < cancel:
-            return None
-        if b is None and (dn < x or bear_stop):
-            return None
-        if c is None and dn < x:
-            return None
-        # the upper price may set C
-        if b is not None:
-            if c is not None and up > c[0]:
-                c, combos, cancel, r_c = None, [], None, 0.0
-            for r, lo, hi in sorted(ac):
-                if not lo <= up <= hi or (c is not None and c[0] > up):
-                    continue
-                if i <= b[1]:
-                    break
-                if lowest < b[0] and lowest_at > b[1]:
-                    b = c = d = None
-                    combos, cancel, r_c = [], None, 0.0
-                    break
-                c, r_c = (up, i), r
-                bd = _bands(bd_r, up, abs(b[0] - up), -1)
-                combos = [
-                    (rb, rx, max(lb, lx), min(hb, hx), lb, lx) for rb, lb, hb in bd for rx, lx, hx in xd if min(hb, hx) >= max(lb, lx)
-                ]
-                if combos:
-                    cancel = min(k[2] for k in combos)
-                break
-        # the lower price may set B, then D
-        if (deep is None or dn < deep[0]) and i != a_bar:
-            deep = (dn, i)
-        if c is None and deep is not None:
-            for r, lo, hi in xb:
-                if lo <= deep[0] <= hi and not (b is not None and b[0] < deep[0]):
-                    b, r_b = deep, r
-                    if basis != "CD":
-                        ac = _bands(ac_r, b[0], a - b[0], 1)
-                    break
-        for rb, rx, lo, hi, _, _ in sorted(combos):
-            if not lo <= dn <= hi or (d is not None and d[0] < dn):
-                continue
-            d = (dn, i)
-            if fits(b, c, d):
-                return b, c, d, r_b, r_c, rb, rx
-    return None
+
+    def __init__(self, model: str, x: np.ndarray, a: np.ndarray):
+        xb, (xd,), (self.bd,), self.ac, basis = MODELS[model]
+        self.xb, self.x, self.a, self.from_x = np.array(xb), x, a, basis == "CD"
+        self.xb_low, self.xb_high = self.around(a, x - a, self.xb)
+        self.xd_low, self.xd_high = (e[:, 0] for e in self.around(a, x - a, np.array([xd])))
+        self.low, self.low_at = np.full(len(x), np.inf), np.full(len(x), -1)
+        self.b, self.c, self.d, self.floor, self.ceiling, self.b_ratio, self.c_ratio = (np.full(len(x), np.nan) for _ in range(7))
+        self.b_at, self.c_at, self.d_at = (np.full(len(x), -1) for _ in range(3))
+        self.open, self.found = np.ones(len(x), bool), np.zeros(len(x), bool)
+
+    @staticmethod
+    def around(origin: np.ndarray, leg: np.ndarray, ratios: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Low and high ends of every ratio's band, lanes by ratios."""
+        reach = leg[:, None] * ratios[None, :]
+        ends = origin[:, None] + reach * (1 - ALLOWANCE), origin[:, None] + reach * (1 + ALLOWANCE)
+        return np.minimum(*ends), np.maximum(*ends)
+
+    @staticmethod
+    def rung(price: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a band holds the price, and which is the first."""
+        inside = (low <= price[:, None]) & (price[:, None] <= high)
+        return inside.any(axis=1), inside.argmax(axis=1)
+
+    def forget(self, lanes: np.ndarray, *points: str) -> None:
+        for p in points:
+            getattr(self, p)[lanes] = np.nan
+
+    def step(self, here: np.ndarray, at: np.ndarray, up: np.ndarray, down: np.ndarray, close: np.ndarray, quirk: np.ndarray) -> None:
+        """One bar. ``quirk``: a falling figure without B is given up on a bar whose high is under A (a rising one: above A)."""
+        lower = down < self.low
+        self.low[lower], self.low_at[lower] = down[lower], at[lower]
+        without_c = np.isnan(self.c)
+        self.open &= ~here | ~((down < self.floor) | (without_c & (down < self.x)) | (np.isnan(self.b) & quirk))
+        here = here & self.open
+        self.forget(here & (up > self.c), "c", "c_ratio", "floor", "ceiling")
+        self._place_c(here, at, up)
+        hit, which = self.rung(self.low, self.xb_low, self.xb_high)
+        takes = here & np.isnan(self.c) & hit & ~(self.b < self.low)
+        self.b[takes], self.b_at[takes], self.b_ratio[takes] = self.low[takes], self.low_at[takes], self.xb[which][takes]
+        reached = here & (down >= self.floor) & (down <= self.ceiling) & ~(self.d < down)
+        self.d[reached], self.d_at[reached] = down[reached], at[reached]
+        done = reached & (close != down)
+        self.found |= done
+        self.open &= ~done
+
+    def _place_c(self, here: np.ndarray, at: np.ndarray, up: np.ndarray) -> None:
+        origin, leg = (self.x, self.a - self.x) if self.from_x else (self.b, self.a - self.b)
+        hit, which = self.rung(up, *self.around(origin, leg, np.array(self.ac)))
+        tries = here & hit & ~np.isnan(self.b) & ~(self.c > up) & (at > self.b_at)
+        stale = tries & (self.low < self.b) & (self.low_at > self.b_at)
+        self.forget(stale, "b", "b_ratio", "c", "c_ratio", "d", "floor", "ceiling")
+        sets = tries & ~stale
+        bd_low, bd_high = (e[:, 0] for e in self.around(up, -np.abs(self.b - up), np.array([self.bd])))
+        floor, ceiling = np.maximum(bd_low, self.xd_low), np.minimum(bd_high, self.xd_high)
+        meet = sets & (ceiling >= floor)
+        self.c[sets], self.c_at[sets], self.c_ratio[sets] = up[sets], at[sets], np.array(self.ac)[which][sets]
+        self.floor[sets], self.ceiling[sets] = np.where(meet, floor, np.nan)[sets], np.where(meet, ceiling, np.nan)[sets]
 
 
 _ITEM = (
@@ -195,36 +193,39 @@ _ITEM = (
 
 def _figures_of_block(pdf: pd.DataFrame) -> pd.DataFrame:
     """Projections of the X-A pairs of one block (rows of pairs and of bars share the group)."""
-    bars = pdf[pdf["a_bar"].isna()].sort_values("bar_index")
-    pairs = pdf[~pdf["a_bar"].isna()]
-    idx = bars["bar_index"].astype("int64").tolist()
-    highs, lows, closes = bars["high"].tolist(), bars["low"].tolist(), bars["close"].tolist()
-    first, rows = (idx[0] if idx else 0), []
-    for p in pairs.itertuples(index=False):
-        bull, xb, ab = bool(p.is_bull), int(p.x_bar), int(p.a_bar)
-        s = 1.0 if bull else -1.0
-        x, a = s * p.x, s * p.a
-        start, stop = ab + PERIOD - first, min(xb + DEPTH - first + 1, len(idx))
-        for model in MODELS:
-
-            def walk():
-                for k in range(start, stop):
-                    if bull:
-                        yield idx[k], highs[k], lows[k], highs[k] > a
-                    else:
-                        yield idx[k], -lows[k], -highs[k], highs[k] < -a
-
-            def fits(b, c, d):
-                close = s * closes[d[1] - first]
-                return abs(d[0] - close) > 0
-
-            hit = _project(model, x, a, ab, walk(), fits)
-            if hit:
-                b, c, d, r_b, r_c, r_bd, r_xd = hit
-                rows.append(
-                    (p.symbol, p.tf, model, bull, xb, p.x, ab, p.a, b[1], s * b[0], c[1], s * c[0], d[1], s * d[0], closes[d[1] - first], r_b, r_c, r_bd, r_xd)
-                )
-    return pd.DataFrame(rows, columns=[f.split()[0] for f in _ITEM.split(", ")])
+    names = [f.split()[0] for f in _ITEM.split(", ")]
+    bars, pairs = pdf[pdf["a_bar"].isna()].sort_values("bar_index"), pdf[~pdf["a_bar"].isna()]
+    if not len(bars) or not len(pairs):
+        return pd.DataFrame([], columns=names).astype(object)
+    first, last = int(bars["bar_index"].iloc[0]), len(bars) - 1
+    high, low, close = (bars[c].to_numpy(float) for c in ("high", "low", "close"))
+    bull, x_bar, a_bar = pairs["is_bull"].to_numpy(bool), pairs["x_bar"].to_numpy("int64"), pairs["a_bar"].to_numpy("int64")
+    side, x, a = np.where(bull, 1.0, -1.0), pairs["x"].to_numpy(float), pairs["a"].to_numpy(float)
+    begin, end = a_bar + PERIOD - first, np.minimum(x_bar + DEPTH - first, last)
+    out = []
+    for model in MODELS:
+        lanes = Lanes(model, side * x, side * a)
+        for offset in range(int((end - begin).max(initial=-1)) + 1):
+            at = begin + offset
+            here = lanes.open & (at <= end)
+            if not here.any():
+                break
+            k = np.minimum(at, last)
+            up, down = np.where(bull, high[k], -low[k]), np.where(bull, low[k], -high[k])
+            # bars beyond a lane's end leave it as it is
+            lanes.step(here, k, np.where(here, up, -np.inf), np.where(here, down, np.inf), side * close[k], np.where(bull, high[k] > a, high[k] < a))
+        f = lanes.found
+        point = lambda v, f=f: side[f] * v[f]
+        out.append(
+            pd.DataFrame(
+                {
+                    "symbol": pairs["symbol"].to_numpy()[f], "tf": pairs["tf"].to_numpy()[f], "model": model, "is_bull": bull[f], "x_bar": x_bar[f], "x": x[f], "a_bar": a_bar[f], "a": a[f],
+                    "b_bar": lanes.b_at[f] + first, "b": point(lanes.b), "c_bar": lanes.c_at[f] + first, "c": point(lanes.c), "d_bar": lanes.d_at[f] + first, "d": point(lanes.d),
+                    "d_close": close[lanes.d_at[f]], "xb_want": lanes.b_ratio[f], "ac_want": lanes.c_ratio[f], "bd_want": lanes.bd, "xd_want": MODELS[model][1][0],
+                }
+            )
+        )
+    return pd.concat(out, ignore_index=True)[names]
 
 
 def gartley_projection(pivots: DataFrame, pairs: DataFrame, block: int = BLOCK) -> DataFrame:
