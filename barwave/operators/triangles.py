@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barwave.functions.prices import round_price
-from barwave.operators.joins import range_join
+from barwave.operators.joins import first_hit, range_join
 from barwave.operators.pivots import zigzag_bps_fold
 from barwave.operators.series import KEY, fold_series, framed, with_seq
 from barwave.operators.waves import PRICE_RULES
@@ -156,3 +156,182 @@ def triangle_setups(
     rest = [c for c in first.columns if c not in same]
     one = first.groupBy(*same).agg(F.min_by(F.struct(*rest), F.struct("entry_bar", -F.col("scale"), "n")).alias("_s")).select(*same, "_s.*")
     return one.withColumn("signal_id", F.concat_ws("|", "symbol", "tf", F.lit("TRI"), "entry_bar", "b0", F.col("scale").cast("int"))).drop("n")
+
+
+# ---- running triangles, found forward --------------------------------------------------------------
+
+# fixed values
+RUNNING_LADDER = (0.382, 0.618, 0.786, 1.0, 1.127, 1.272, 1.434, 1.618, 1.826, 2.058, 2.321, 2.618, 3.33, 4.236, 5.388, 6.854)
+PULLBACK, B_TO_A, E_RETRACE, NEAR, AHEAD = 0.5, (0.8, 1.3), 0.5, 24, 400
+
+
+def carry(points: Column, start: Column, sign: float) -> Column:
+    """The wave that leaves ``start`` (struct ``i, y, b``) upward (``sign`` 1) or downward: its end so far, and where it is over.
+
+    It goes on to every farther point and is over at the first that takes back more than ``PULLBACK`` of it; ``stop`` is null while it isn't. Null at the last point.
+    """
+    begin = F.get(points, start["i"])
+    none = F.lit(None).cast("int")
+    first = F.struct(F.struct((start["i"] + 1).alias("i"), begin["y"].alias("y"), begin["b"].alias("b")).alias("end"), none.alias("stop"))
+    places = F.filter(F.sequence(F.lit(1), F.size(points)), lambda i: i > start["i"] + 1)
+
+    def step(held: Column, i: Column) -> Column:
+        x, end = F.element_at(points, i), held["end"]
+        here = F.struct(i.alias("i"), x["y"].alias("y"), x["b"].alias("b"))
+        open_, farther = held["stop"].isNull(), sign * x["y"] > sign * end["y"]
+        back = sign * end["y"] - sign * x["y"] > PULLBACK * F.greatest(F.lit(1e-12), sign * end["y"] - sign * start["y"])
+        return F.struct(F.when(open_ & farther, here).otherwise(end).alias("end"), F.when(open_ & ~farther & back, i).otherwise(held["stop"]).alias("stop"))
+
+    return F.when(start["i"] < F.size(points), F.aggregate(places, first, step))
+
+
+def with_turn_bar(flips: DataFrame, bars: DataFrame) -> DataFrame:
+    """Flips with low, high and close of the bar that turned the zigzag: there the next pivot is born."""
+    at = bars.select(*KEY, F.col("bar_index").alias("live_from"), F.col("low").alias("lo"), F.col("high").alias("hi"), "close")
+    return flips.join(at, [*KEY, "live_from"])
+
+
+def opening_waves(flips: DataFrame, near: int = NEAR, ahead: int = AHEAD) -> DataFrame:
+    """Each pivot as point 0 with the pivots after it (y counts up where 0 is above its successor) and wave A, once its end is settled.
+
+    ``pts`` and ``ahead`` end before the first pivot that leaves the room from A to ``B_TO_A``[1] times A above it: beyond that B or the waves'
+    containment fails. Most pivots are settled within the next ``near``; only the others are joined with up to ``ahead``.
+    """
+    fields = ["value", "pivot_bar", "live_from", "lo", "hi", "close"]
+
+    def settled(k: DataFrame, size: int) -> DataFrame:
+        k = k.where(F.size("ahead") >= 4).withColumn("s", F.when(F.col("ahead")[0]["value"] > F.col("ahead")[1]["value"], 1.0).otherwise(-1.0))
+        k = k.withColumn("pts", F.transform("ahead", lambda x: F.struct((x["value"] * F.col("s")).alias("y"), x["pivot_bar"].alias("b"))))
+        zero = F.struct(F.lit(1).alias("i"), F.col("pts")[0]["y"].alias("y"), F.col("pts")[0]["b"].alias("b"))
+        k = cut(k.select(*SCALE_KEY, "n", "s", "ahead", "pts", zero.alias("zero")).withColumn("a", carry(F.col("pts"), zero, -1.0)))
+        low, room = F.col("a.end.y"), F.col("a.end.y") + B_TO_A[1] * (F.col("zero.y") - F.col("a.end.y"))
+        leaves = F.filter(F.sequence(F.lit(1), F.size("pts")), lambda i: (i > F.col("a.end.i")) & ((F.element_at("pts", i)["y"] < low) | (F.element_at("pts", i)["y"] > room)))
+        k = k.withColumn("left_at", F.get(leaves, F.lit(0))).withColumn("whole", (F.size("ahead") <= size) | (F.col("a.stop").isNotNull() & F.col("left_at").isNotNull()))
+        kept = F.coalesce(F.col("left_at") - 1, F.size("pts"))
+        return cut(k.withColumns({"ahead": F.slice("ahead", F.lit(1), kept), "pts": F.slice("pts", F.lit(1), kept)}).drop("left_at"))
+
+    first = settled(framed(flips, 0, near, lambda w: {"ahead": F.collect_list(F.struct(*fields)).over(w.rowsBetween(0, near))}, keys=SCALE_KEY, order="n").select(*SCALE_KEY, "n", "ahead"), near)
+    late = first.where("not whole").select(*SCALE_KEY, F.col("n").alias("from_n"), F.col("n").alias("_f"), (F.col("n") + ahead).alias("_t"))
+    more = range_join(late, flips, "_f", "_t", keys=SCALE_KEY, index="n").groupBy(*SCALE_KEY, "from_n").agg(F.sort_array(F.collect_list(F.struct("n", *fields))).alias("ahead"))
+    second = settled(more.withColumnRenamed("from_n", "n").withColumn("ahead", F.transform("ahead", lambda x: F.struct(*[x[f].alias(f) for f in fields]))), ahead)
+    return first.where("whole").unionByName(second).where(F.col("a.stop").isNotNull()).drop("whole")
+
+
+def running_forward(flips: DataFrame, ahead: int = AHEAD) -> DataFrame:
+    """0-A-B-C-D-E of one scale, waves carried forward from 0 with pull-backs, E being born on the bar that turns the zigzag.
+
+    For a 0 and its A every later turn in the room of ``opening_waves`` is tried. D that passes B falls back to the last pivot after C that doesn't.
+    """
+    k = opening_waves(flips, ahead=ahead)
+    turns = F.filter(F.sequence(F.lit(1), F.size("pts")), lambda i: (i >= 5) & (i % 2 == 1) & (i + 1 >= F.col("a.stop")))
+    p = k.withColumn("turn", F.explode(turns))
+    born = F.element_at("ahead", F.col("turn"))
+    e = F.struct((F.col("s") * F.when(F.col("s") > 0, born["lo"]).otherwise(born["hi"])).alias("y"), born["live_from"].alias("b"))
+    p = cut(p.select(*SCALE_KEY, F.col("n").alias("from_n"), "s", F.concat(F.slice("pts", F.lit(1), F.col("turn")), F.array(e)).alias("pts"), "zero", F.col("a.end").alias("a"), born["live_from"].alias("entry_bar"), born["close"].alias("entry"), born["lo"].alias("lo"), born["hi"].alias("hi")))
+    pts = F.col("pts")
+    p = p.withColumn("b", carry(pts, F.col("a"), 1.0)).withColumn("c", carry(pts, F.col("b.end"), -1.0)).withColumn("d", carry(pts, F.col("c.end"), 1.0)).withColumn("e", carry(pts, F.col("d.end"), -1.0))
+    p = cut(p).where(F.col("e.end.i") == F.size("pts"))
+    capped = F.array_max(F.filter(F.sequence(F.col("c.end.i") + 1, F.col("d.end.i")), lambda i: F.element_at(pts, i)["y"] <= F.col("b.end.y")))
+    fallback = F.element_at(pts, F.coalesce(capped, F.col("d.end.i")))
+    d = F.when(F.col("d.end.y") > F.col("b.end.y"), F.struct(fallback["y"].alias("y"), fallback["b"].alias("b"))).otherwise(F.struct("d.end.y", "d.end.b"))
+    points = [F.col("zero"), F.col("a"), F.col("b.end"), F.col("c.end"), d, F.col("e.end")]
+    named = {f"p{i}": x["y"] * F.col("s") for i, x in enumerate(points)} | {f"b{i}": x["b"] for i, x in enumerate(points)}
+    return p.withColumns(named).select(*SCALE_KEY, "from_n", (F.col("s") > 0).alias("is_long"), "entry_bar", "entry", "lo", "hi", *named)
+
+
+def cross_scale(flips: DataFrame, bars: DataFrame, ahead: int = AHEAD, within: int = 4 * AHEAD) -> DataFrame:
+    """0-A-B of a coarse scale continued by C, D and E that only a finer scale tells apart; every later turn of a finer scale is offered as E.
+
+    B is settled (its wave is over in the room of ``opening_waves``). C is the farthest price after B and before E, D the farthest back between C and E,
+    both by bars, and E lies beyond all bars after D. Turns count while no bar after B has reached B or passed A, for ``within`` bars at most.
+    One row per coarse 0, finer scale (``fine``) and E.
+    """
+    k = opening_waves(flips, ahead=ahead).withColumn("b", carry(F.col("pts"), F.col("a.end"), 1.0))
+    k = cut(k.select(*SCALE_KEY, F.col("n").alias("from_n"), "s", "zero", F.col("a.end").alias("a"), F.col("b.end").alias("b"), "b.stop")).where(F.col("stop").isNotNull())
+    b_to_a = (F.col("b.y") - F.col("a.y")) / (F.col("zero.y") - F.col("a.y"))
+    k = k.where((b_to_a >= B_TO_A[0]) & (b_to_a <= B_TO_A[1]) & (F.col("b.y") > F.col("zero.y")))
+    last = bars.groupBy(*KEY).agg(F.max("bar_index").alias("_last"))
+    plain = bars.select(*KEY, "bar_index", "high", "low")
+    up, down = (F.when(F.col("s") > 0, F.col(x)).otherwise(-F.col(y)) for x, y in (("high", "low"), ("low", "high")))
+    reach = k.join(last, list(KEY)).withColumns({"_f": F.col("b.b") + 1, "_t": F.least(F.col("_last"), F.col("b.b") + within)})
+    seen = range_join(reach, plain, "_f", "_t").withColumns({"up": up, "down": down})
+    w = Window.partitionBy(*SCALE_KEY, "from_n").orderBy("bar_index").rowsBetween(Window.unboundedPreceding, 0)
+    seen = seen.withColumn("_out", F.max(((F.col("up") >= F.col("b.y")) | (F.col("down") < F.col("a.y"))).cast("int")).over(w)).where("_out = 0")
+    fine = flips.select(*KEY, F.col("scale").alias("fine"), F.col("live_from").alias("bar_index"), F.col("value").alias("_v"), "lo", "hi", "close")
+    j = seen.join(fine, [*KEY, "bar_index"]).where((F.col("fine") < F.col("scale")) & F.when(F.col("s") > 0, F.col("_v") > F.col("lo")).otherwise(F.col("_v") < F.col("hi")))
+    j = cut(j.select(*SCALE_KEY, "from_n", "s", "zero", "a", "b", "fine", F.col("bar_index").alias("entry_bar"), F.struct(F.col("down").alias("y"), F.col("bar_index").alias("b")).alias("e"), "lo", "hi", "close"))
+
+    def farthest(t: DataFrame, name: str, after: str, to: Column, price: Column) -> DataFrame:
+        ident = [*SCALE_KEY, "from_n", "fine", "entry_bar"]
+        span = t.select(*ident, "s", (F.col(f"{after}.b") + 1).alias("_f"), to.alias("_t"))
+        found = range_join(span, plain, "_f", "_t").groupBy(*ident).agg(F.min(F.struct(price.alias("y"), F.col("bar_index").alias("b"))).alias(name))
+        return t.join(found, ident)
+
+    j = farthest(j, "c", "b", F.col("entry_bar") - 1, down)
+    j = farthest(cut(j), "d", "c", F.col("entry_bar") - 1, -up)
+    j = farthest(cut(j), "low", "d", F.col("entry_bar"), down).where(F.col("low.b") == F.col("entry_bar"))
+    points = [(F.col(x)["y"], F.col(x)["b"]) for x in ("zero", "a", "b", "c")] + [(-F.col("d.y"), F.col("d.b")), (F.col("e.y"), F.col("e.b"))]
+    named = {f"p{i}": y * F.col("s") for i, (y, _) in enumerate(points)} | {f"b{i}": b for i, (_, b) in enumerate(points)}
+    return j.select(*SCALE_KEY, "from_n", "fine", (F.col("s") > 0).alias("is_long"), "entry_bar", F.col("close").alias("entry"), "lo", "hi", *[c.alias(n) for n, c in named.items()])
+
+
+def shaped(t: DataFrame, min_bars: int, min_size_percent: float, e_retrace: float = E_RETRACE, b_to_a: tuple[float, float] = B_TO_A, max_duration: float = MAX_DURATION) -> DataFrame:
+    """Prices and durations of a running triangle: B beyond 0 and ``b_to_a`` of A, C between A and 0, D between C and B, E between C and 0 and ``e_retrace`` of D back, no bar of E's beyond D."""
+    s = F.when(F.col("is_long"), 1.0).otherwise(-1.0)
+    y = [F.col(f"p{i}") * s for i in range(6)]
+    ratio = (y[2] - y[1]) / (y[0] - y[1])
+    ok = (ratio >= b_to_a[0]) & (ratio <= b_to_a[1]) & (y[2] > y[0]) & (y[3] <= y[0]) & (y[3] > y[1]) & (y[4] <= y[2]) & (y[4] > y[3])
+    ok = ok & (y[5] > y[1]) & (y[5] <= y[4]) & (y[5] < y[0]) & (y[4] - y[5] >= e_retrace * (y[4] - y[3])) & (y[5] >= y[3])
+    ok = ok & (F.col("b5") - F.col("b0") >= min_bars) & ((y[0] - y[1]) / F.col("entry") * 100 >= min_size_percent)
+    beyond_d = F.when(F.col("is_long"), F.col("hi") > F.col("p4")).otherwise(F.col("lo") < F.col("p4"))
+    return even_durations(t.where(ok & ~beyond_d), max_duration)
+
+
+def leads_in(t: DataFrame, bars: DataFrame, ident: Sequence[str], b_mult: float = 1.0) -> DataFrame:
+    """Rows where, going back from 0, price beyond A and beyond ``b_mult`` lengths of B from 0 is met before price at 0 again."""
+    long = F.col("is_long")
+    span = F.abs(F.col("p2") - F.col("p1")) * b_mult
+    level = F.when(long, F.least(F.col("p1"), F.col("p0") - span)).otherwise(F.greatest(F.col("p1"), F.col("p0") + span))
+    back = F.when(long, F.col("high") >= F.col("p0")).otherwise(F.col("low") <= F.col("p0"))
+    beyond = F.when(long, F.col("low") < F.col("_level")).otherwise(F.col("high") > F.col("_level"))
+    mirrored = bars.select(*KEY, (-F.col("bar_index")).alias("bar_index"), "high", "low")
+    cand = t.withColumns({"_level": level, "_s": -F.col("b0")}).select(*ident, "is_long", "p0", "_level", "_s")
+    hit = first_hit(
+        cand, mirrored, list(ident), "_s",
+        [F.min(F.when(back, F.col("bar_index"))).alias("_back"), F.min(F.when(beyond, F.col("bar_index"))).alias("_beyond")],
+        F.col("_back").isNotNull() | F.col("_beyond").isNotNull(),
+    )
+    far = F.lit(2**62)
+    return t.join(hit.where(F.coalesce("_beyond", far) < F.coalesce("_back", far)).select(*ident), list(ident))
+
+
+def running_triangle_setups(
+    bars: DataFrame, base: int, ladder: Sequence[float] = RUNNING_LADDER, min_bars: int = 0, min_size_percent: float = 0.0, take_profit: str = "B",
+    min_room: float = MIN_ROOM, b_mult: float = 1.0, across: bool = True, digits: int = 2, e_retrace: float = E_RETRACE, max_duration: float = MAX_DURATION,
+) -> DataFrame:
+    """Running triangles of every rung, entered at the close of the bar that gives birth to E; ``across`` adds those of two scales.
+
+    Target at B (``take_profit`` "0": at point 0), stop 2 % of the distance beyond A; neither reached, the target at least ``min_room`` of their
+    distance away. Of one bar and scale the earliest 0 counts, of one 0 the first entry: on the coarsest rung, within one scale before across two.
+    """
+    scales = sorted({max(1, round(base * r)) for r in ladder})
+    flips = cut(with_turn_bar(ladder_flips(bars, scales), bars))
+    t = running_forward(flips).withColumns({"fine": F.col("scale"), "way": F.lit(0)})
+    if across:
+        t = t.unionByName(cross_scale(flips, bars).withColumn("way", F.lit(1)))
+    ident = [*SCALE_KEY, "from_n", "fine", "entry_bar", "way"]
+    t = cut(shaped(t, min_bars, min_size_percent, e_retrace, max_duration=max_duration))
+    t = leads_in(cut(contained(t, bars, ident)), bars, ident, b_mult)
+    long, level = F.col("is_long"), F.col("entry")
+    slack = F.abs(level - F.col("p1")) * (SL_ALLOWANCE / 100.0)
+    goal = F.col("p0") if take_profit == "0" else F.col("p2")
+    t = t.withColumns({"tp": round_price(goal, digits, long), "sl": round_price(F.when(long, F.col("p1") - slack).otherwise(F.col("p1") + slack), digits, long)})
+    unmet = F.when(long, (level < F.col("tp")) & (level > F.col("sl"))).otherwise((level > F.col("tp")) & (level < F.col("sl")))
+    t = t.where(unmet & (F.abs(level - F.col("tp")) / F.abs(F.col("tp") - F.col("sl")) >= min_room))
+    turn = [*KEY, "entry_bar", "fine"]
+    rest = [c for c in t.columns if c not in turn]
+    t = t.groupBy(*turn).agg(F.min_by(F.struct(*rest), F.struct("way", "b0", -F.col("scale"))).alias("_s")).select(*turn, "_s.*")
+    origin = [*KEY, "is_long", "b0"]
+    rest = [c for c in t.columns if c not in origin]
+    t = t.groupBy(*origin).agg(F.min_by(F.struct(*rest), F.struct("entry_bar", "way", -F.col("scale"), -F.col("fine"))).alias("_s")).select(*origin, "_s.*")
+    return t.withColumn("signal_id", F.concat_ws("|", "symbol", "tf", F.lit("RUN"), "entry_bar", "b0", F.col("scale").cast("int"))).drop("from_n", "lo", "hi")

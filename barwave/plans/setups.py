@@ -49,18 +49,6 @@ def q_levels(spark, sf):
     return r4(ws.impulse_levels(e, 1.6, 2).select("symbol", "tf", "seq", "entry", "tp", "sl"), "entry", "tp", "sl")
 
 
-@query("g04_running_triangle_setups")
-def q_running(spark, sf):
-    bars = bar_table(spark, sf)
-    return r4(ws.triangle_setups(pv.zigzag_bps(bars, 20), bars, running=True).select(*SIG, "entry", "tp", "sl"), "tp", "sl")
-
-
-@query("g05_cross_scale_assembly")
-def q_cross(spark, sf):
-    bars = bar_table(spark, sf)
-    return ws.cross_scale_assembly(pv.zigzag_bps(bars, 60), pv.zigzag_bps(bars, 20)).select("symbol", "tf", "seq", "b0", "b1", "b2", "b3", "d_bar", "e_bar")
-
-
 def skeletons(bars):
     return ws.diagonal_skeletons(pv.zigzag_bps(bars, 20))
 

@@ -101,3 +101,106 @@ for _name, _gates in GATES.items():
     def q_triangles(spark, sf, gates=_gates):
         t = tr.triangle_setups(bar_table(spark, sf, TF), BASE, min_bars=MIN_BARS, min_size_percent=MIN_SIZE, **gates)
         return t.select("signal_id", "symbol", "tf", "model", "is_long", "entry_bar", *[F.round(c, 4).alias(c) for c in ("entry", "tp", "sl")], *[f"b{i}" for i in range(6)])
+
+
+# ---- running triangles -----------------------------------------------------------------------------
+
+RUN_LADDER = (1.0, 1.618, 2.618, 4.236, 6.854)
+
+
+def waves_sql(scales) -> str:
+    """CTE ``ew``: where the wave that leaves pivot k stands when pivot i is the last one met; rows end before the pull-back that ends the wave."""
+    return flips_sql(scales) + """, fe AS MATERIALIZED (SELECT f.*, coalesce(f.v > lead(f.v) OVER k, f.v > lag(f.v) OVER k) AS top, q.low AS lo, q.high AS hi, q.close AS close
+        FROM fl f JOIN bars q ON q.symbol = f.symbol AND q.bar_index = f.live_from WINDOW k AS (PARTITION BY f.symbol, f.sc ORDER BY f.n)),
+    er AS (SELECT a.symbol, a.sc, a.n AS k, a.v AS vk, CASE WHEN a.top THEN -1 ELSE 1 END AS g, b.n AS i, b.n AS ext, b.v AS vx FROM fe a JOIN fe b ON b.symbol = a.symbol AND b.sc = a.sc AND b.n = a.n + 1
+      UNION ALL SELECT e.symbol, e.sc, e.k, e.vk, e.g, x.n, CASE WHEN e.g * x.v > e.g * e.vx THEN x.n ELSE e.ext END, CASE WHEN e.g * x.v > e.g * e.vx THEN x.v ELSE e.vx END
+        FROM er e JOIN fe x ON x.symbol = e.symbol AND x.sc = e.sc AND x.n = e.i + 1
+        WHERE x.n <= e.k + 401 AND (e.g * x.v > e.g * e.vx OR e.g * e.vx - e.g * x.v <= 0.5::DOUBLE * greatest(1e-12::DOUBLE, e.g * e.vx - e.g * e.vk))),
+    wl AS MATERIALIZED (SELECT symbol, sc, k, max(i) AS last FROM er GROUP BY ALL),
+    pl AS MATERIALIZED (SELECT f.*, m.last FROM fe f LEFT JOIN wl m ON m.symbol = f.symbol AND m.sc = f.sc AND m.k = f.n),
+    ew AS MATERIALIZED (SELECT e.symbol, e.sc, e.k, e.i, e.ext, p.v, p.b, p.last FROM er e JOIN pl p ON p.symbol = e.symbol AND p.sc = e.sc AND p.n = e.ext)"""
+
+
+def forward_sql(scales) -> str:
+    """CTE ``fw``: points of every 0 and every turn at which E is born, one scale."""
+    hop = lambda src, at, to: (
+        f"SELECT z.*, w.ext AS {to}, w.v AS v{to}, w.b AS b{to}, least(z.n, w.last) AS l{to} FROM {src} z JOIN ew w ON w.symbol = z.symbol AND w.sc = z.sc AND w.k = z.{at} AND w.i = z.{'lo_' if at == 'o' else 'l' + at} WHERE z.{at} < z.n"
+    )
+    return waves_sql(scales) + f""", z0 AS MATERIALIZED (SELECT o.symbol, o.tf, o.sc, o.n AS o, o.v AS vo, o.b AS bo, least(t.n, o.last) AS lo_, t.n, CASE WHEN o.top THEN 1 ELSE -1 END AS s, CASE WHEN o.top THEN t.lo ELSE t.hi END AS ve, t.live_from AS entry_bar, t.close AS entry, t.lo, t.hi
+        FROM pl o JOIN fe t ON t.symbol = o.symbol AND t.sc = o.sc AND t.n >= o.n + 4 AND (t.n - o.n) % 2 = 0 AND t.n <= o.n + 399),
+    z1 AS MATERIALIZED ({hop('z0', 'o', 'a')}), z2 AS MATERIALIZED ({hop('z1', 'a', 'b')}), z3 AS MATERIALIZED (SELECT * FROM ({hop('z2', 'b', 'c')}) WHERE s * (vb - va) / (s * (vo - va)) BETWEEN {tr.B_TO_A[0]} AND {tr.B_TO_A[1]}),
+    z4 AS MATERIALIZED ({hop('z3', 'c', 'd')}),
+    z5 AS (SELECT * FROM z4 z WHERE s * ve >= s * va AND s * ve >= s * vc AND (d = n OR EXISTS (SELECT 1 FROM ew w WHERE w.symbol = z.symbol AND w.sc = z.sc AND w.k = z.d AND w.i = z.n AND z.s * z.ve < z.s * w.v))),
+    z6 AS (SELECT z.*, (SELECT max(x.n) FROM fe x WHERE x.symbol = z.symbol AND x.sc = z.sc AND x.n > z.c AND x.n <= z.d AND z.s * x.v <= z.s * z.vb) AS cap FROM z5 z WHERE s * vd > s * vb),
+    fw AS MATERIALIZED (SELECT symbol, tf, sc, o, sc AS fine, 0 AS way, s, entry_bar, entry, lo, hi, vo AS p0, va AS p1, vb AS p2, vc AS p3, vd AS p4, ve AS p5, bo AS b0, ba AS b1, bb AS b2, bc AS b3, bd AS b4, entry_bar AS b5 FROM z5 WHERE s * vd <= s * vb
+      UNION ALL SELECT z.symbol, z.tf, z.sc, z.o, z.sc, 0, z.s, z.entry_bar, z.entry, z.lo, z.hi, vo, va, vb, vc, coalesce(x.v, vd), ve, bo, ba, bb, bc, coalesce(x.b, bd), z.entry_bar FROM z6 z LEFT JOIN fe x ON x.symbol = z.symbol AND x.sc = z.sc AND x.n = z.cap)"""
+
+
+def across_sql(scales) -> str:
+    """CTE ``xs``: 0-A-B of a coarse scale whose waves are over, C, D and E by bars up to the turns of finer scales."""
+    room = f"va + {tr.B_TO_A[1]}::DOUBLE * (vo - va)"
+    return forward_sql(scales) + f""", k1 AS (SELECT o.symbol, o.tf, o.sc, o.n AS o, o.v AS vo, o.b AS bo, CASE WHEN o.top THEN 1 ELSE -1 END AS s, p.ext AS a, p.v AS va, p.b AS ba, m.last AS a_last
+        FROM fe o JOIN wl m ON m.symbol = o.symbol AND m.sc = o.sc AND m.k = o.n JOIN ew p ON p.symbol = o.symbol AND p.sc = o.sc AND p.k = o.n AND p.i = m.last),
+    k2 AS (SELECT k.*, coalesce((SELECT min(x.n) FROM fe x WHERE x.symbol = k.symbol AND x.sc = k.sc AND x.n > k.a AND (k.s * x.v < k.s * va OR k.s * x.v > k.s * ({room}))), 1000000000) AS out_at,
+        (SELECT max(n) FROM fe x WHERE x.symbol = k.symbol AND x.sc = k.sc) AS last_n FROM k1 k),
+    k3 AS (SELECT k.*, p.v AS vb, p.b AS bb FROM k2 k JOIN wl m ON m.symbol = k.symbol AND m.sc = k.sc AND m.k = k.a JOIN ew p ON p.symbol = k.symbol AND p.sc = k.sc AND p.k = k.a AND p.i = m.last
+        WHERE a_last < last_n AND m.last + 1 <= least(last_n, out_at - 1) AND k.s * (p.v - va) / (k.s * (vo - va)) BETWEEN {tr.B_TO_A[0]} AND {tr.B_TO_A[1]} AND k.s * p.v > k.s * vo),
+    k4 AS (SELECT k.*, coalesce((SELECT min(q.bar_index) FROM bars q WHERE q.symbol = k.symbol AND q.bar_index > k.bb AND CASE WHEN k.s > 0 THEN q.high >= vb OR q.low < va ELSE q.low <= vb OR q.high > va END), 1000000000) AS end_bar FROM k3 k),
+    k5 AS (SELECT k.*, t.sc AS fine, t.live_from AS e, t.lo, t.hi, t.close AS entry FROM k4 k JOIN fe t ON t.symbol = k.symbol AND t.sc < k.sc AND t.live_from > k.bb AND t.live_from <= k.bb + 1600 AND t.live_from < k.end_bar AND CASE WHEN k.s > 0 THEN t.v > t.lo ELSE t.v < t.hi END),
+    k6 AS (SELECT k.*, (SELECT min({{'y': CASE WHEN k.s > 0 THEN q.low ELSE -q.high END, 'b': q.bar_index}}) FROM bars q WHERE q.symbol = k.symbol AND q.bar_index > k.bb AND q.bar_index < k.e) AS c FROM k5 k),
+    k7 AS (SELECT k.*, (SELECT min({{'y': CASE WHEN k.s > 0 THEN -q.high ELSE q.low END, 'b': q.bar_index}}) FROM bars q WHERE q.symbol = k.symbol AND q.bar_index > k.c.b AND q.bar_index < k.e) AS d FROM k6 k WHERE c IS NOT NULL),
+    k8 AS (SELECT k.*, (SELECT min({{'y': CASE WHEN k.s > 0 THEN q.low ELSE -q.high END, 'b': q.bar_index}}) FROM bars q WHERE q.symbol = k.symbol AND q.bar_index > k.d.b AND q.bar_index <= k.e) AS x FROM k7 k WHERE d IS NOT NULL),
+    xs AS MATERIALIZED (SELECT symbol, tf, sc, o, fine, 1 AS way, s, e AS entry_bar, entry, lo, hi, vo AS p0, va AS p1, vb AS p2, s * c.y AS p3, -s * d.y AS p4, s * x.y AS p5, bo AS b0, ba AS b1, bb AS b2, c.b AS b3, d.b AS b4, e AS b5 FROM k8 WHERE x.b = e)"""
+
+
+def running_sql(scales, min_bars: int, min_size: float, min_room: float = tr.MIN_ROOM, b_mult: float = 1.0, e_retrace: float = tr.E_RETRACE, max_duration: float = tr.MAX_DURATION) -> str:
+    """CTE ``rs``: signals of one scale and across two."""
+    y = ", ".join(f"s * p{i} AS y{i}" for i in range(6))
+    steady = " AND ".join(f"(b{i - 1} <= b{i - 2} OR b{i} - b{i - 1} <= {max_duration} * (b{i - 1} - b{i - 2}))" for i in range(2, 6))
+    inside = " AND ".join(
+        f"NOT EXISTS (SELECT 1 FROM bars q WHERE q.symbol = g.symbol AND q.bar_index > b{i - 1} AND q.bar_index < b{i} AND (q.high > greatest(p{i - 1}, p{i}) OR q.low < least(p{i - 1}, p{i})))"
+        for i in range(1, 6)
+    )
+    return across_sql(scales) + f""", al AS (SELECT *, {y} FROM (SELECT * FROM fw UNION ALL SELECT * FROM xs)),
+    g1 AS (SELECT * FROM al WHERE (y2 - y1) / (y0 - y1) BETWEEN {tr.B_TO_A[0]} AND {tr.B_TO_A[1]} AND y2 > y0 AND y3 <= y0 AND y3 > y1 AND y4 <= y2 AND y4 > y3 AND y5 > y1 AND y5 <= y4 AND y5 < y0 AND y4 - y5 >= {e_retrace} * (y4 - y3) AND y5 >= y3
+        AND b5 - b0 >= {min_bars} AND (y0 - y1) / entry * 100 >= {min_size} AND CASE WHEN s > 0 THEN hi <= p4 ELSE lo >= p4 END AND {steady}),
+    g2 AS (SELECT * FROM g1 g WHERE {inside}),
+    g3 AS (SELECT g.*, CASE WHEN s > 0 THEN least(p1, p0 - {b_mult} * (y2 - y1)) ELSE greatest(p1, p0 + {b_mult} * (y2 - y1)) END AS far FROM g2 g),
+    g4 AS (SELECT g.*, (SELECT max(q.bar_index) FROM bars q WHERE q.symbol = g.symbol AND q.bar_index < b0 AND CASE WHEN s > 0 THEN q.high >= p0 ELSE q.low <= p0 END) AS back,
+        (SELECT max(q.bar_index) FROM bars q WHERE q.symbol = g.symbol AND q.bar_index < b0 AND CASE WHEN s > 0 THEN q.low < far ELSE q.high > far END) AS beyond FROM g3 g),
+    g5 AS (SELECT *, CASE WHEN s > 0 THEN floor(p2 * 100) / 100 ELSE ceil(p2 * 100) / 100 END AS tp,
+        CASE WHEN s > 0 THEN floor((p1 - abs(entry - p1) * 0.02::DOUBLE) * 100) / 100 ELSE ceil((p1 + abs(entry - p1) * 0.02::DOUBLE) * 100) / 100 END AS sl FROM g4 WHERE coalesce(beyond, -1) > coalesce(back, -1)),
+    g6 AS (SELECT * FROM g5 WHERE CASE WHEN s > 0 THEN entry < tp AND entry > sl ELSE entry > tp AND entry < sl END AND abs(entry - tp) / abs(tp - sl) >= {min_room}
+        QUALIFY row_number() OVER (PARTITION BY symbol, entry_bar, fine ORDER BY way, b0, sc DESC) = 1),
+    rs AS (SELECT * FROM g6 QUALIFY row_number() OVER (PARTITION BY symbol, s, b0 ORDER BY entry_bar, way, sc DESC, fine DESC) = 1)"""
+
+
+RUN_SCALES = sorted({max(1, round(BASE * r)) for r in RUN_LADDER})
+RUN_GATES = {"": {}, "_wide": {"min_room": 0.1, "b_mult": 0.2, "e_retrace": 0.3, "max_duration": 12.0}}
+PRICES = ", ".join(f"round(p{i}, 4) AS p{i}" for i in range(6))
+
+
+@query(
+    "g05_cross_scale_assembly",
+    with_bars(across_sql(RUN_SCALES) + f" SELECT symbol, tf, CAST(sc AS INTEGER) AS scale, CAST(fine AS INTEGER) AS fine, o AS from_n, s > 0 AS is_long, {POINTS}, {PRICES} FROM xs", tf=TF, recursive=True),
+)
+def q_across(spark, sf):
+    bars = bar_table(spark, sf, TF)
+    x = tr.cross_scale(tr.cut(tr.with_turn_bar(tr.ladder_flips(bars, RUN_SCALES), bars)), bars)
+    return x.select("symbol", "tf", *[F.col(c).cast("int").alias(c) for c in ("scale", "fine")], "from_n", "is_long", *[f"b{i}" for i in range(6)], *[F.round(f"p{i}", 4).alias(f"p{i}") for i in range(6)])
+
+
+for _name, _gates in RUN_GATES.items():
+
+    @query(
+        f"g04_running_triangle_setups{_name}",
+        with_bars(
+            running_sql(RUN_SCALES, MIN_BARS, MIN_SIZE, **_gates)
+            + f" SELECT concat_ws('|', symbol, tf, 'RUN', entry_bar, b0, CAST(sc AS INTEGER)) AS signal_id, symbol, tf, CAST(fine AS INTEGER) AS fine, way, s > 0 AS is_long, entry_bar, round(entry, 4) AS entry, round(tp, 4) AS tp, round(sl, 4) AS sl, {POINTS} FROM rs",
+            tf=TF,
+            recursive=True,
+        ),
+    )
+    def q_running(spark, sf, gates=_gates):
+        t = tr.running_triangle_setups(bar_table(spark, sf, TF), BASE, RUN_LADDER, MIN_BARS, MIN_SIZE, **gates)
+        return t.select("signal_id", "symbol", "tf", F.col("fine").cast("int").alias("fine"), "way", "is_long", "entry_bar", *[F.round(c, 4).alias(c) for c in ("entry", "tp", "sl")], *[f"b{i}" for i in range(6)])
