@@ -80,6 +80,16 @@ def prefix_length(n: int) -> int:
     return n - -(-NUM * n // DEN) + 1
 
 
+def often_met(held: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values that occur ``least`` times or more in the arrays of ``held``, which is emptied, and how often; sorted in place, for few copies."""
+    v = np.concatenate(held)
+    held.clear()
+    v.sort()
+    # a value fills ``least`` places in a row
+    often = np.unique(v[least - 1 :][v[least - 1 :] == v[: max(len(v) - least + 1, 0)]])
+    return often, np.searchsorted(v, often, side="right") - np.searchsorted(v, often)
+
+
 def heavy_shingles(docs: DataFrame) -> np.ndarray:
     """The commonest shingles over all texts, rarest first: at most ``HEAVY``. They only decide the order, not the result."""
 
@@ -87,17 +97,17 @@ def heavy_shingles(docs: DataFrame) -> np.ndarray:
         hashes, held, n = WordHashes(), [], 0
 
         def counted() -> pa.RecordBatch:
-            v, c = np.unique(np.concatenate(held), return_counts=True)
-            often = c >= HEAVY_IN_TASK
-            return pa.record_batch([pa.array(v[often].view(np.int64)), pa.array(c[often].astype(np.int64))], ["g", "c"])
+            v, c = often_met(held, HEAVY_IN_TASK)
+            return pa.record_batch([pa.array(v.view(np.int64)), pa.array(c.astype(np.int64))], ["g", "c"])
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(all_shingles(text, hashes))
-                n += len(held[-1])
-                if n > 4_000_000:
-                    yield counted()
-                    held, n = [], 0
+            for at in range(0, batch.num_rows, 500):
+                for text in batch.column(0).slice(at, 500).to_pylist():
+                    held.append(all_shingles(text, hashes))
+                    n += len(held[-1])
+                    if n > 4_000_000:
+                        yield counted()
+                        n = 0
         if held:
             yield counted()
 
