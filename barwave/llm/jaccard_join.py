@@ -25,10 +25,11 @@ from barwave.llm.common import WORD, broadcast_if_small, cut, ensure_checkpoint_
 WORDS = 5
 NUM, DEN = 80, 100  # linked when DEN * intersection >= NUM * union
 RADIUS = 1 - NUM / DEN
-CELLS = 512
+LEAST_CELLS = 64
 HEAVY = 40_000  # commonest shingles that come last in the order, by count
 HEAVY_IN_TASK = 12
 SMALL = 12  # blocks and rings of so many members are joined directly
+SLICE = 128  # members of a region that meet in one task
 LEVELS = 3
 WORD_CACHE = 300_000
 
@@ -90,6 +91,25 @@ def often_met(held: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarra
     return often, np.searchsorted(v, often, side="right") - np.searchsorted(v, often)
 
 
+def parities(s: np.ndarray) -> bytes:
+    """A bit for each of 2^k >= ``len(s)`` hash cells: whether an odd number of the set's elements falls in it."""
+    cells = max(LEAST_CELLS, 1 << (len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def odd_cells(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """In how many cells the parities of each pair differ; the longer of two is folded in half, cell on cell, to the length of the other."""
+    out = np.zeros(len(a), np.int64)
+    lengths = np.array([(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64).reshape(-1, 2)
+    for la, lb in np.unique(lengths, axis=0).tolist():
+        at = np.flatnonzero((lengths == (la, lb)).all(axis=1))
+        one, two = (np.frombuffer(b"".join([v[i] for i in at.tolist()]), np.uint8).reshape(len(at), -1, min(la, lb)) for v in (a, b))
+        differ = np.bitwise_xor.reduce(one, axis=1) ^ np.bitwise_xor.reduce(two, axis=1)
+        out[at] = np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def heavy_shingles(docs: DataFrame) -> np.ndarray:
     """The commonest shingles over all texts, rarest first: at most ``HEAVY``. They only decide the order, not the result."""
 
@@ -198,7 +218,7 @@ def row_key(docs: DataFrame) -> DataFrame:
 
 def set_table(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
     """``doc_id, row, sig, n, prefix, cells`` of each row: the set's signature and size, its first shingles in the common order, and
-    how many shingles fall in each of ``CELLS`` hash cells (a task gives the last two for the first row of a signature only)."""
+    the parities of its hash cells (a task gives the last two for the first row of a signature only)."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +241,7 @@ def set_table(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(sig[-1])
-                    cells.append(np.minimum(np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes())
+                    cells.append(parities(s))
                     order = s
                     if len(values):
                         place = np.minimum(np.searchsorted(values, s), len(values) - 1)
@@ -236,16 +256,15 @@ def set_table(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
 
 
 def close_enough(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (``a``, ``b``) whose cell counts allow a link.
+    """Pairs (``a``, ``b``) whose cells allow a link.
 
-    The summed differences of the cells' counts are a lower bound of the symmetric difference, which in a linked pair is at
-    most (|a| + |b|) (1 - t) / (1 + t) for threshold t. So none that is linked is lost.
+    A cell whose parities differ holds an element of one set only, so such cells are at most as many as the symmetric difference, which
+    in a linked pair is at most (|a| + |b|) (1 - t) / (1 + t) for threshold t. So none that is linked is lost.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for c in (2, 3))
-            differ = np.abs(a - b).sum(axis=1)
+            differ = odd_cells(batch.column(2).to_pylist(), batch.column(3).to_pylist())
             total = batch.column(4).to_numpy()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(differ * (DEN + NUM) <= total * (DEN - NUM)))
 
@@ -323,15 +342,17 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
 
 
 def ring_pairs(members: DataFrame) -> DataFrame:
-    """All pairs of different components within each region that sizes and places allow: ``members`` has region, sig, n, most, component.
+    """All pairs of different components within each region that sizes and places allow: ``members`` has region, sig, n, most, component, size.
 
-    A region's members are dealt to slices, and slices meet in pairs, so no task holds a large region.
+    ``size`` is the region's number of members. They are dealt to slices of about ``SLICE``, and slices meet in pairs, so no task
+    holds a large region; a region of one slice is not copied.
     """
-    slices = 8
-    part = members.withColumn("slice", F.pmod(F.xxhash64("sig"), F.lit(slices)))
-    left = part.select("region", "slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("other"), F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("most").alias("most_a"), F.col("component").alias("c_a"))
-    right = part.select("region", F.col("slice").alias("other"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("most").alias("most_b"), F.col("component").alias("c_b"))
-    return left.join(right, ["region", "slice", "other"]).filter("a < b and c_a <> c_b and n_a <= most_b and n_b <= most_a").select("a", "b")
+    part = members.withColumn("slices", F.ceil(F.col("size") / SLICE)).withColumn("slice", F.pmod(F.xxhash64("sig"), F.col("slices")))
+    # each pair of slices meets once: the lower one with itself and all above
+    left = part.select("region", "slice", F.explode(F.sequence("slice", F.col("slices") - 1)).alias("other"), F.col("sig").alias("a"), F.col("n").alias("n_a"), F.col("most").alias("most_a"), F.col("component").alias("c_a"))
+    right = part.select("region", F.col("slice").alias("other"), F.explode(F.sequence(F.lit(0).cast("long"), "slice")).alias("slice"), F.col("sig").alias("b"), F.col("n").alias("n_b"), F.col("most").alias("most_b"), F.col("component").alias("c_b"))
+    met = left.join(right, ["region", "slice", "other"]).filter("(slice <> other or a < b) and c_a <> c_b and n_a <= most_b and n_b <= most_a")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def pivot_pairs(members: DataFrame, level: int) -> DataFrame:
@@ -376,7 +397,7 @@ def linked_rows(docs: DataFrame, small: int = SMALL, levels: int = LEVELS) -> Da
         now = open_regions if last else open_regions.filter(F.col("size") <= 4 * small)
         later = None if last else open_regions.filter(F.col("size") > 4 * small)
         known_pairs = found.select("a", "b")
-        wanted = ring_pairs(now.drop("size"))
+        wanted = ring_pairs(now)
         if not last:
             pivoted = cut(pivot_pairs(later.drop("size"), level + 1))
             wanted = wanted.union(pivoted.filter("sig <> pivot").select(F.least("sig", "pivot"), F.greatest("sig", "pivot")))
