@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from barwave.session import cut, ensure_checkpoint_dir
 
-__all__ = ["WORD", "attach", "broadcast_if_small", "crc_mod", "cut", "ensure_checkpoint_dir", "let", "n_words", "release", "running", "shuffles"]
+__all__ = ["WORD", "attach", "broadcast_if_small", "crc_mod", "cut", "ensure_checkpoint_dir", "let", "n_words", "pass_few_bytes", "release", "running", "shuffles"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -40,6 +40,11 @@ def shuffles(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def pass_few_bytes(spark: SparkSession) -> None:
+    """From now on, tasks pass texts to their Python workers in batches of about 4 MB: by rows alone, a batch of long texts is held several times over."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark remove shuffle files and checkpoints of frames that nothing refers to any more: it does so when the driver collects garbage."""
     gc.collect()

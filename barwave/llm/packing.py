@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barwave.llm.common import cut
-from barwave.llm.word_tokenizer import word_tokenizer
+from barwave.llm.word_tokenizer import KEEP, word_tokenizer
 
 CAPACITY = 2048
 SMALLEST_CUT = 256
@@ -31,16 +31,17 @@ def cuts(n: int, capacity: int = CAPACITY, smallest: int = SMALLEST_CUT) -> list
     return out + [left] * (left > 0)
 
 
-def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, byte_level: bool = True, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, byte_level: bool = True, with_ids: bool = False, keep_words: int = KEEP) -> DataFrame:
     """Pieces of each tokenised document: ``doc_id, start, length, ids_crc32, doc_tokens`` (and ``ids``).
 
     A document is its text's ids and ``end_id``; null text counts as empty and so gives one piece of one id. Whole texts
     are tokenised, once. Rows equal in id give pieces for each row. Other columns of ``docs`` are ignored.
+    A worker remembers the ids of up to twice ``keep_words`` words: fewer take less memory and more time.
     """
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, end = word_tokenizer(tokenizer_path, byte_level), np.array([end_id], "<u4").tobytes()
+        tok, end = word_tokenizer(tokenizer_path, byte_level, keep_words), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)

@@ -2,7 +2,7 @@
 
 A text is the concatenation of its words' ids where the tokenizer never joins across the cut: before a single space between
 two other characters (byte-level files), or at any ASCII white space (files that drop white space). New words go to the
-tokenizers library once; a worker keeps two generations of at most ``KEEP`` words.
+tokenizers library once; a worker keeps two generations of at most ``keep`` words, which decides memory and time but no ids.
 """
 
 from __future__ import annotations
@@ -28,16 +28,16 @@ WORD_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\
 class Words(dict):
     """Word -> ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, encode):
+    def __init__(self, encode, keep: int = KEEP):
         super().__init__()
-        self.encode, self.old = encode, {}
+        self.encode, self.keep, self.old = encode, keep, {}
 
     def __missing__(self, word):
         ids = self.old.get(word)
         if ids is None:
             ids = self.encode(word)
         if len(word) <= LONGEST:
-            if len(self) >= KEEP:
+            if len(self) >= self.keep:
                 self.old = dict(self)
                 self.clear()
             self[word] = ids
@@ -45,7 +45,7 @@ class Words(dict):
 
 
 class WordTokenizer:
-    def __init__(self, path: str, byte_level: bool):
+    def __init__(self, path: str, byte_level: bool, keep: int = KEEP):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -61,9 +61,9 @@ class WordTokenizer:
                 both = letters.pre_tokenize_str(bytes((lead, tail)).decode())[0][0]
                 self.shown[lead], self.shown[tail] = both[0], both[1]
         self.as_letters = {k: v for k, v in self.shown.items()}
-        self.pieces = Words(self.piece)
+        self.pieces = Words(self.piece, keep)
         self.lead = " " if byte_level else ""
-        self.words = Words(self.word)
+        self.words = Words(self.word, keep)
 
     def piece(self, piece: str) -> bytes:
         if piece.isascii() and piece.isprintable():
@@ -104,6 +104,6 @@ class WordTokenizer:
 
 
 @lru_cache(maxsize=4)
-def word_tokenizer(path: str, byte_level: bool) -> WordTokenizer:
+def word_tokenizer(path: str, byte_level: bool, keep: int = KEEP) -> WordTokenizer:
     """One for each worker and file; the path must be readable on every executor."""
-    return WordTokenizer(path, byte_level)
+    return WordTokenizer(path, byte_level, keep)

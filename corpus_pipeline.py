@@ -9,13 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barwave.llm import jaccard_join, language_id, packing, secret_forest, source_mix
+from barwave.llm.common import pass_few_bytes
 from barwave.llm.queries import shared_folder
 
 MIN_LANGUAGE_SCORE = 0.3
+KEEP_WORDS = 100_000  # the stages before leave less room in an executor than packing has by itself
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the network names with a score of at least ``MIN_LANGUAGE_SCORE``; null, empty and letterless texts go."""
+    pass_few_bytes(spark)
     net = language_id.learn(docs.select(F.col("doc_id").alias("key"), "text", "lang"))
     found = language_id.identify(docs["text"], net)
     return docs.filter((found["lang_pred"] != language_id.UNKNOWN) & (found["score"] >= MIN_LANGUAGE_SCORE))
@@ -23,6 +26,7 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shingle similarity of 0.8 or more connects: the one of smallest doc_id."""
+    pass_few_bytes(spark)
     return jaccard_join.keep_first(docs)
 
 
@@ -38,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of at most 2048 tokens."""
-    return packing.pack(packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1))
+    return packing.pack(packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=1, keep_words=KEEP_WORDS))
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
