@@ -66,7 +66,7 @@ def op5_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     held_out = crc_mod(F.col("doc_id"), 5) == 1
-    return brown_lm.score(docs, docs.filter(~held_out)).withColumn("held_out", held_out)
+    return brown_lm.score(docs, ~held_out).withColumn("held_out", held_out)
 
 
 @query
